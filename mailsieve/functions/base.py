@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from functools import reduce
+from functools import cache, reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -20,10 +20,31 @@ def blank_to_null(value) -> Column:
     return F.nullif(col(value), F.lit(""))
 
 
+@cache
+def _constant_list(values: tuple) -> Column:
+    joined = "\u0001".join(values).replace("\\", "\\\\").replace("'", "\\'")
+    return F.expr(f"split('{joined}', '\u0001')")
+
+
 def string_array(values) -> Column:
-    """A constant array<string>, parsed as one SQL literal."""
-    quoted = ", ".join("'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'" for v in values)
-    return F.expr(f"array({quoted})") if quoted else F.expr("cast(array() as array<string>)")
+    """A constant array<string>; a single expression that folds to one literal."""
+    return _constant_list(tuple(values))
+
+
+def among(value, values) -> Column:
+    """Membership in a fixed list, as a test against one array literal."""
+    return F.array_contains(string_array(values), col(value))
+
+
+def explode_rows(df, array: str, *keep: str, pos: str | None = None):
+    """One row per struct of an array column, with its fields as columns.
+
+    The outer form is used on purpose: for the inner one the optimizer repeats the
+    array's whole expression in a filter below the generator.
+    """
+    rows = df.select(*keep, F.posexplode_outer(array).alias("_pos", "_row")) \
+        .where(F.col("_row").isNotNull())
+    return rows.select(*keep, *([F.col("_pos").alias(pos)] if pos else []), "_row.*")
 
 
 def extend(rows: Column, **fields) -> Column:

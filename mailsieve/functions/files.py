@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .base import col, string_array, text
+from .base import among, col, string_array, text
 from . import fixed_values as fv
 
 
@@ -20,8 +20,8 @@ def double_extension(filename) -> Column:
     name = F.lower(text(filename))
     parts = F.split(name, r"\.")
     return ((F.size(parts) >= 3)
-            & F.coalesce(F.try_element_at(parts, F.lit(-2)), F.lit("")).isin(fv.MASKING_EXTENSIONS)
-            & F.substring_index(name, ".", -1).isin(fv.RISKY_EXTENSIONS))
+            & among(F.coalesce(F.try_element_at(parts, F.lit(-2)), F.lit("")), fv.MASKING_EXTENSIONS)
+            & among(F.substring_index(name, ".", -1), fv.RISKY_EXTENSIONS))
 
 
 def true_type(content) -> Column:

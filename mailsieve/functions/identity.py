@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .base import blank_to_null, col, let, string_array, text
+from .base import among, blank_to_null, col, let, string_array, text
 from . import fixed_values as fv
 
 EMBEDDED_EMAIL = r"[\w.+-]+@[\w-]+\.[\w.-]+"
@@ -51,7 +51,7 @@ def registrable(host) -> Column:
     """Organisation-level domain: two labels, or three under a listed suffix."""
     h = clean_host(host)
     two = F.substring_index(h, ".", -2)
-    return F.when(two.isin(fv.MULTI_LABEL_SUFFIXES), F.substring_index(h, ".", -3)).otherwise(two)
+    return F.when(among(two, fv.MULTI_LABEL_SUFFIXES), F.substring_index(h, ".", -3)).otherwise(two)
 
 
 def tld(host) -> Column:
@@ -67,19 +67,26 @@ def plausible_host(candidate) -> Column:
     return (
         (F.length(h) <= 253)
         & h.rlike(r"^[a-z0-9](?:[a-z0-9-]*[a-z0-9])?(?:\.[a-z0-9](?:[a-z0-9-]*[a-z0-9])?)+$")
-        & F.substring_index(h, ".", -1).isin(fv.COMMON_TLDS)
+        & among(F.substring_index(h, ".", -1), fv.COMMON_TLDS)
     )
 
 
+def _same_organisation(v) -> Column:
+    a, b, reg_a, reg_b = v["a"], v["b"], v["reg_a"], v["reg_b"]
+    return (a != "") & (b != "") & (
+        (a == b) | (reg_a == reg_b)
+        | F.endswith(a, F.concat(F.lit("."), reg_b))
+        | F.endswith(b, F.concat(F.lit("."), reg_a)))
+
+
+def _pair(a, b, body) -> Column:
+    return let(lambda u: let(body, a=u["a"], b=u["b"], reg_a=registrable(u["a"]),
+                             reg_b=registrable(u["b"])),
+               a=clean_host(a), b=clean_host(b))
+
+
 def same_organisation(a, b) -> Column:
-    left, right = F.btrim(F.lower(text(a)), F.lit(".")), F.btrim(F.lower(text(b)), F.lit("."))
-    reg_l, reg_r = registrable(left), registrable(right)
-    return (left != "") & (right != "") & (
-        (left == right)
-        | (reg_l == reg_r)
-        | F.endswith(left, F.concat(F.lit("."), reg_r))
-        | F.endswith(right, F.concat(F.lit("."), reg_l))
-    )
+    return _pair(a, b, _same_organisation)
 
 
 def aligned(child, parent, strict=None) -> Column:
@@ -93,16 +100,16 @@ def aligned(child, parent, strict=None) -> Column:
 
 
 def is_free_mail(host) -> Column:
-    return registrable(host).isin(fv.FREE_MAIL_DOMAINS)
+    return among(registrable(host), fv.FREE_MAIL_DOMAINS)
 
 
 def is_mail_platform(host) -> Column:
     """Known bulk-mail/helpdesk platform, by host, organisation or parent domain."""
     h = clean_host(host)
     return ~is_free_mail(h) & (
-        h.isin(fv.ESP_DOMAINS)
-        | F.substring_index(h, ".", -2).isin(fv.ESP_DOMAINS)
-        | F.substring_index(h, ".", -3).isin(fv.ESP_DOMAINS)
+        among(h, fv.ESP_DOMAINS)
+        | among(F.substring_index(h, ".", -2), fv.ESP_DOMAINS)
+        | among(F.substring_index(h, ".", -3), fv.ESP_DOMAINS)
     )
 
 
@@ -130,8 +137,8 @@ def lookalike_brand(host) -> Column:
         near_miss = F.get(F.filter(string_array(fv.BRANDS), imitates), F.lit(0))
         as_token = F.get(F.filter(
             string_array(token_brands), lambda b: F.array_contains(v["tokens"], b)), F.lit(0))
-        genuine = (v["h"] == "") | v["reg"].isin(fv.BRAND_OWNED_DOMAINS) \
-            | F.substring_index(v["reg"], ".", 1).isin(fv.BRANDS)
+        genuine = (v["h"] == "") | among(v["reg"], fv.BRAND_OWNED_DOMAINS) \
+            | among(F.substring_index(v["reg"], ".", 1), fv.BRANDS)
         return F.when(~genuine, F.coalesce(near_miss, as_token))
 
     def parts(u):
@@ -154,7 +161,7 @@ def brand_in_display_name(name, from_domain) -> Column:
             string_array(brands),
             lambda b: F.array_contains(v["words"], b) & ~F.contains(v["dom"], b)), F.lit(0))
         return F.when((v["dom"] != "")
-                      & ~registrable(v["dom"]).isin(fv.BRAND_OWNED_DOMAINS), claimed)
+                      & ~among(registrable(v["dom"]), fv.BRAND_OWNED_DOMAINS), claimed)
 
     return let(decide, dom=F.lower(text(from_domain)),
                words=F.split(F.lower(text(name)), r"(?U)\W+"))
@@ -163,17 +170,20 @@ def brand_in_display_name(name, from_domain) -> Column:
 def relationship(from_domain, other_domain) -> Column:
     """same_org / suspicious / trusted_esp / unrelated, tested in that order."""
     def decide(v):
-        a, b = v["a"], v["b"]
+        b, reg_b = v["b"], v["reg_b"]
+        free = among(reg_b, fv.FREE_MAIL_DOMAINS)
+        platform = ~free & (among(b, fv.ESP_DOMAINS) | among(reg_b, fv.ESP_DOMAINS)
+                            | among(F.substring_index(b, ".", -3), fv.ESP_DOMAINS))
         return (
-            F.when((a == "") | (b == ""), F.lit("unrelated"))
-            .when(same_organisation(a, b), F.lit("same_org"))
-            .when(is_free_mail(b) & ~is_free_mail(a), F.lit("suspicious"))
-            .when((F.contains(b, F.lit(".")) & tld(b).isin(fv.HIGH_RISK_TLDS))
+            F.when((v["a"] == "") | (b == ""), F.lit("unrelated"))
+            .when(_same_organisation(v), F.lit("same_org"))
+            .when(free & ~among(v["reg_a"], fv.FREE_MAIL_DOMAINS), F.lit("suspicious"))
+            .when((F.contains(b, F.lit(".")) & among(tld(b), fv.HIGH_RISK_TLDS))
                   | lookalike_brand(b).isNotNull(), F.lit("suspicious"))
-            .when(is_mail_platform(b), F.lit("trusted_esp"))
+            .when(platform, F.lit("trusted_esp"))
             .otherwise(F.lit("unrelated")))
 
-    return let(decide, a=text(from_domain), b=text(other_domain))
+    return _pair(from_domain, other_domain, decide)
 
 
 def idn_reason(host) -> Column:
@@ -184,8 +194,8 @@ def idn_reason(host) -> Column:
 
 def is_exempt_from_ageing(host) -> Column:
     reg = registrable(host)
-    return (reg != "") & (reg.isin(fv.BRAND_OWNED_DOMAINS)
-                          | F.substring_index(reg, ".", 1).isin(fv.BRANDS))
+    return (reg != "") & (among(reg, fv.BRAND_OWNED_DOMAINS)
+                          | among(F.substring_index(reg, ".", 1), fv.BRANDS))
 
 
 def trusted_sender(from_domain, spf, dkim, dmarc) -> Column:
@@ -193,5 +203,5 @@ def trusted_sender(from_domain, spf, dkim, dmarc) -> Column:
     return (
         (s != "fail") & (k != "fail") & (m != "fail")
         & ((s == "pass") | (k == "pass"))
-        & registrable(from_domain).isin(fv.TRUSTED_SENDER_DOMAINS)
+        & among(registrable(from_domain), fv.TRUSTED_SENDER_DOMAINS)
     )

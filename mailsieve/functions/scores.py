@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .base import col, string_array, text
+from .base import among, col, string_array, text
 from . import fixed_values as fv
 
 SIGNAL = ("struct<indicator:string,family:string,weight:int,original_weight:int,"
@@ -75,7 +75,7 @@ def risk_bucket(display) -> Column:
 def dampened(signals, trusted) -> Column:
     """Soft indicators of an authenticated trusted sender weigh nothing."""
     quiet = F.transform(col(signals), lambda s: F.when(
-        s["indicator"].isin(fv.DAMPENED_INDICATORS),
+        among(s["indicator"], fv.DAMPENED_INDICATORS),
         s.withField("weight", F.lit(0))).otherwise(s))
     return F.when(col(trusted), quiet).otherwise(col(signals))
 

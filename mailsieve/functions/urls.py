@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .base import blank_to_null, col, text
+from .base import among, blank_to_null, col, text
 from . import fixed_values as fv
 from .identity import address, domain_of, is_ipv4_host, plausible_host, registrable
 
@@ -55,7 +55,7 @@ def is_skipped(raw) -> Column:
 
 
 def is_shortener(host_) -> Column:
-    return col(host_).isin(fv.SHORTENER_HOSTS)
+    return among(col(host_), fv.SHORTENER_HOSTS)
 
 
 def open_redirect(url) -> Column:
@@ -78,7 +78,7 @@ def redirects_elsewhere(url) -> Column:
                            F.substring(pair, F.instr(pair, "=") + 1, F.length(pair)))
         target = unquoted(unquoted(F.coalesce(raw_value, F.lit(""))))
         there = host(target)
-        return (key.isin(fv.REDIRECT_KEYS)
+        return (among(key, fv.REDIRECT_KEYS)
                 & target.rlike(r"^(?:https?:)?//")
                 & (there != "") & (there != own) & (registrable(there) != own_org))
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import files
 from ..functions import fixed_values as fv
-from ..functions.base import compact, extend
+from ..functions.base import among, compact, explode_rows, extend
 from ..functions.scores import signal
 
 FAMILY = "attachment forensics"
@@ -56,9 +56,9 @@ def analysed(rows: Column) -> Column:
         a,
         archive_read=lambda r: F.coalesce(F.size(r["entries"]) > 0, F.lit(False)),
         risky_entries=lambda r: _bases(
-            r, lambda b: files.extension(b).isin(fv.RISKY_EXTENSIONS)),
+            r, lambda b: among(files.extension(b), fv.RISKY_EXTENSIONS)),
         nested_archives=lambda r: _bases(
-            r, lambda b: files.extension(b).isin(fv.NESTED_ARCHIVE_EXTENSIONS)),
+            r, lambda b: among(files.extension(b), fv.NESTED_ARCHIVE_EXTENSIONS)),
         masked_entries=lambda r: _bases(r, files.double_extension),
         ole_macro=lambda r: r["is_ole"] & _any_marker(r["content"], fv.OLE_MACRO_NAMES),
         ole_encrypted=lambda r: r["is_ole"] & _any_marker(r["content"], fv.OLE_ENCRYPTION_NAMES),
@@ -67,23 +67,23 @@ def analysed(rows: Column) -> Column:
     a = extend(
         a,
         mime_type=lambda r: files.mime_type(r["filename"], r["true_type"]),
-        is_executable=lambda r: r["ext"].isin(fv.EXECUTABLE_EXTENSIONS)
+        is_executable=lambda r: among(r["ext"], fv.EXECUTABLE_EXTENSIONS)
         | r["true_type"].isin("exe", "elf"),
-        is_script=lambda r: r["ext"].isin(fv.SCRIPT_EXTENSIONS + ["lnk"])
+        is_script=lambda r: among(r["ext"], fv.SCRIPT_EXTENSIONS + ["lnk"])
         | (r["true_type"] == "lnk"),
         macro_seen=lambda r: r["zip_macro"] | r["ole_macro"],
-        is_macro=lambda r: r["zip_macro"] | r["ole_macro"] | r["ext"].isin(fv.MACRO_EXTENSIONS)
-        | (r["ext"].isin(fv.LEGACY_OFFICE_EXTENSIONS) & ~r["ole_read"]),
+        is_macro=lambda r: r["zip_macro"] | r["ole_macro"] | among(r["ext"], fv.MACRO_EXTENSIONS)
+        | (among(r["ext"], fv.LEGACY_OFFICE_EXTENSIONS) & ~r["ole_read"]),
         is_double_extension=lambda r: files.double_extension(r["filename"]),
         is_encrypted=lambda r: r["zip_encrypted"] | r["ole_encrypted"]
-        | (~r["archive_read"] & r["ext"].isin(fv.ARCHIVE_EXTENSIONS)
+        | (~r["archive_read"] & among(r["ext"], fv.ARCHIVE_EXTENSIONS)
            & files.encryption_word(r["filename"])),
         is_mismatched=lambda r: files.signature_mismatch(r["filename"], r["true_type"]))
     a = extend(a, features=lambda r: F.concat(
         compact(
             F.when(r["macro_seen"], F.lit("office_vba_macro")),
-            F.when(~r["macro_seen"] & ~r["ext"].isin(fv.MACRO_EXTENSIONS)
-                   & r["ext"].isin(fv.LEGACY_OFFICE_EXTENSIONS) & r["ole_read"],
+            F.when(~r["macro_seen"] & ~among(r["ext"], fv.MACRO_EXTENSIONS)
+                   & among(r["ext"], fv.LEGACY_OFFICE_EXTENSIONS) & r["ole_read"],
                    F.lit("legacy_office_no_macro")),
             F.when(r["zip_encrypted"], F.lit("archive_encrypted"))
             .when(r["ole_encrypted"], F.lit("office_encrypted")),
@@ -95,7 +95,7 @@ def analysed(rows: Column) -> Column:
     a = extend(a, is_suspicious_name=lambda r: files.hash_like_name(r["filename"]) | (
         files.lure_word(r["filename"]).isNotNull()
         & (r["is_executable"] | r["is_script"] | r["is_macro"] | r["is_double_extension"]
-           | r["ext"].isin(fv.LURE_CONTAINER_EXTENSIONS) | (F.size(r["features"]) > 0))))
+           | among(r["ext"], fv.LURE_CONTAINER_EXTENSIONS) | (F.size(r["features"]) > 0))))
     a = extend(a, reasons=_reasons)
     return F.transform(a, lambda r: r.dropFields("content"))
 
@@ -105,7 +105,7 @@ def _reasons(r) -> Column:
     def why(cond, weight, name):
         return F.when(cond, F.struct(F.lit(weight).alias("weight"), F.lit(name).alias("reason")))
 
-    risky = r["is_executable"] | r["ext"].isin(fv.RISKY_EXTENSIONS)
+    risky = r["is_executable"] | among(r["ext"], fv.RISKY_EXTENSIONS)
     weights = F.create_map(*[F.lit(x) for kv in fv.CONTENT_FEATURE_WEIGHTS.items() for x in kv])
     seen = r["features"]
     named = compact(
@@ -129,8 +129,8 @@ def with_attachments(messages: DataFrame) -> DataFrame:
 
 
 def attachment_rows(messages: DataFrame) -> DataFrame:
-    return messages.select("msg_id", F.posexplode("attachments").alias("pos", "a")) \
-        .select("msg_id", "pos", "a.*")
+    return explode_rows(messages.withColumn("attachments", F.transform(
+        "attachments", lambda a: a.dropFields("pos"))), "attachments", "msg_id", pos="pos")
 
 
 def attachment_signals() -> Column:

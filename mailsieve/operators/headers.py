@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed_values as fv
 from ..functions import identity as ident
-from ..functions.base import blank_to_null, compact, string_array, text
+from ..functions.base import among, blank_to_null, compact, string_array, text
 from ..functions.mailtime import parse_mail_date
 from ..functions.network import received_host
 from ..functions.scores import signal
@@ -18,14 +18,12 @@ FAMILY = "header forensics"
 
 def with_identity(messages: DataFrame) -> DataFrame:
     """Addresses, domains and relations that many rules share."""
-    d = messages
-    for role in ("from", "sender", "reply_to", "return_path"):
-        d = d.withColumn(f"{role}_addr", ident.address(f"{role}_raw"))
-    d = d.withColumns({f"{role}_domain": ident.domain_of(f"{role}_addr")
-                       for role in ("from", "sender", "reply_to", "return_path")})
-    d = d.withColumns({f"{role}_relation": ident.relationship("from_domain", f"{role}_domain")
-                       for role in ("sender", "reply_to", "return_path")})
+    roles = ("from", "sender", "reply_to", "return_path")
+    d = messages.withColumns({f"{r}_addr": ident.address(f"{r}_raw") for r in roles})
+    d = d.withColumns({f"{r}_domain": ident.domain_of(f"{r}_addr") for r in roles})
     return d.withColumns({
+        **{f"{role}_relation": ident.relationship("from_domain", f"{role}_domain")
+           for role in roles[1:]},
         "display_name": ident.display_name("from_raw"),
         "from_lookalike": ident.lookalike_brand("from_domain"),
         "received_hosts": F.array_sort(F.array_distinct(F.array_compact(
@@ -122,7 +120,7 @@ def _message_id_rules() -> list[Column]:
     inner = F.btrim(mid, F.lit("<>"))
     host = F.lower(F.substring(inner, F.instr(inner, "@") + 1, F.length(inner)))
     has_at = F.contains(inner, F.lit("@"))
-    local = host.isin(fv.LOCAL_MESSAGE_ID_HOSTS) | F.startswith(host, F.lit("192.168."))
+    local = among(host, fv.LOCAL_MESSAGE_ID_HOSTS) | F.startswith(host, F.lit("192.168."))
     reasons = compact(
         F.when(~(F.startswith(mid, F.lit("<")) & F.endswith(mid, F.lit(">"))), F.lit("brackets")),
         F.when(~has_at, F.lit("no-at")),
@@ -208,7 +206,7 @@ def _sender_domain_rules() -> list[Column]:
     raw_ip = known & ident.is_ipv4_host(dom)
     return [
         _finding(raw_ip, "Raw IP Address Sender Domain", "High", dom),
-        _finding(known & ~raw_ip & ident.tld(dom).isin(fv.HIGH_RISK_TLDS),
+        _finding(known & ~raw_ip & among(ident.tld(dom), fv.HIGH_RISK_TLDS),
                  "High-Risk Top-Level Domain (TLD)", "Medium",
                  F.concat(dom, F.lit(" ."), ident.tld(dom))),
         _finding(known & ~raw_ip & F.col("from_lookalike").isNotNull(),
@@ -281,9 +279,9 @@ def standalone_identity_signals() -> Column:
         F.when(F.col("from_lookalike").isNotNull(), signal(
             "Lookalike / Typosquatted Domain", 25, "strong",
             _pair("domain", dom, "brand", F.col("from_lookalike")), family)),
-        F.when(top.isin(fv.CORE_ABUSE_TLDS), signal(
+        F.when(among(top, fv.CORE_ABUSE_TLDS), signal(
             "High-Risk Top-Level Domain (TLD)", 20, "strong", dom, family))
-        .when(top.isin(fv.HIGH_RISK_TLDS), signal(
+        .when(among(top, fv.HIGH_RISK_TLDS), signal(
             "High-Risk Top-Level Domain (TLD)", 10, "weak", dom, family)),
         F.when(ident.idn_reason(dom).isNotNull(), idn_signal()),
         F.when(dom.isNotNull() & (F.size(bad) > 0), signal(

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed_values as fv
-from ..functions.base import compact, text
+from ..functions.base import among, compact, text
 from ..functions.scores import signal, take_within
 from ..functions.text import decode_entities, meaningful_length, without_raw_bodies
 
@@ -97,7 +97,7 @@ def _styled(selectors):
                         lambda c: F.concat(F.lit("."), c)),
             F.array(F.concat(F.lit("#"), F.lower(F.trim(text(attribute(raw, "id")))))))
         by_sheet = (F.size(selectors) > 0) & F.arrays_overlap(names, selectors)
-        styleable = ~tag.isin(fv.UNSTYLED_TAGS)
+        styleable = ~among(tag, fv.UNSTYLED_TAGS)
         carries = (t["kind"] == "open") & F.contains(raw, F.lit(" "))
         colour = F.regexp_extract(style, r"(?:^|;)color:([^;]+)", 1)
         return F.struct(
@@ -105,7 +105,7 @@ def _styled(selectors):
             (F.when(carries & styleable, style.rlike(HIDING) | hidden_attr | zero | by_sheet)
              .otherwise(F.lit(False))).alias("hides"),
             F.when(carries & styleable, is_white(colour)).otherwise(F.lit(False)).alias("white"),
-            F.when(carries & ~ground.isin(fv.TRANSPARENT_COLOURS), ground).alias("ground"),
+            F.when(carries & ~among(ground, fv.TRANSPARENT_COLOURS), ground).alias("ground"),
             F.when(t["kind"] == "text", meaningful_length(decode_entities(raw)))
             .otherwise(0).alias("chars"),
             F.when(t["kind"] == "text", raw.rlike(r"^[\p{L}\p{N}]")).otherwise(
@@ -126,7 +126,7 @@ def _fold(acc, t) -> Column:
     top = F.get(stack, F.size(stack) - 1)
     ground = F.coalesce(t["ground"], top["ground"], F.lit("#ffffff"))
     hides = t["hides"] | (t["white"] & is_white(ground))
-    opened = F.when(t["tag"].isin(fv.VOID_TAGS), stack).otherwise(F.array_append(stack, F.struct(
+    opened = F.when(among(t["tag"], fv.VOID_TAGS), stack).otherwise(F.array_append(stack, F.struct(
         t["tag"].alias("tag"), hides.alias("hidden"), ground.alias("ground"))))
     place = F.array_position(F.reverse(F.transform(stack, lambda s: s["tag"])), t["tag"])
     closed = F.when(place > 0, F.slice(stack, F.lit(1), (F.size(stack) - place).cast("int"))) \
@@ -183,7 +183,7 @@ def with_html_counts(messages: DataFrame) -> DataFrame:
             F.when(tag == "input", F.lit("text")).otherwise(tag))))
         words = F.concat_ws(" ", *[F.coalesce(attribute(f, n), F.lit("")) for n in
                                    ("name", "id", "placeholder", "autocomplete", "aria-label")])
-        return (F.when(kind.isin(fv.SILENT_FIELD_TYPES), F.lit("silent"))
+        return (F.when(among(kind, fv.SILENT_FIELD_TYPES), F.lit("silent"))
                 .when(kind == "password", F.lit("password"))
                 .when(words.rlike("(?i)" + fv.STRONG_FIELD_PATTERN), F.lit("strong"))
                 .when(words.rlike("(?i)" + fv.IDENTITY_FIELD_PATTERN), F.lit("identity"))

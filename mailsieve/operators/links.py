@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import fixed_values as fv
 from ..functions import identity as ident
 from ..functions import urls
-from ..functions.base import compact, extend, let, text
+from ..functions.base import among, compact, explode_rows, extend, let, text
 from ..functions.scores import signal
 from ..functions.text import decode_entities
 
@@ -50,7 +50,7 @@ def with_links(messages: DataFrame) -> DataFrame:
         normalised=lambda u: urls.normalised(u["url"], u["host"]),
         is_ip=lambda u: ident.is_ipv4_host(u["host"]),
         is_shortener=lambda u: urls.is_shortener(u["host"]),
-        risky_tld=lambda u: ident.tld(u["host"]).isin(fv.HIGH_RISK_TLDS),
+        risky_tld=lambda u: among(ident.tld(u["host"]), fv.HIGH_RISK_TLDS),
         idn=lambda u: ident.idn_reason(u["host"]),
         lookalike=lambda u: ident.lookalike_brand(u["host"]),
         redirect=lambda u: urls.open_redirect(u["url"]),
@@ -74,8 +74,7 @@ def with_links(messages: DataFrame) -> DataFrame:
 
 def link_rows(messages: DataFrame) -> DataFrame:
     """Child table, one row per link."""
-    return messages.select("msg_id", F.posexplode("links").alias("pos", "u")) \
-        .select("msg_id", "pos", "u.*")
+    return explode_rows(messages, "links", "msg_id", pos="pos")
 
 
 def link_totals(messages: DataFrame) -> DataFrame:

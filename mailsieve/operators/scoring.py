@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scores
-from ..functions.base import text
+from ..functions.base import explode_rows, text
 from ..functions.identity import trusted_sender
 from .headers import diverted
 
@@ -84,8 +84,7 @@ def rationale() -> Column:
 
 def signal_rows(scored: DataFrame) -> DataFrame:
     """The long signal table, one row per signal with its position."""
-    return scored.select("msg_id", F.posexplode("signals").alias("seq", "s")) \
-        .select("msg_id", "seq", "s.*")
+    return explode_rows(scored, "signals", "msg_id", pos="seq")
 
 
 def ranked(verdict_rows: DataFrame, *tiebreak: str) -> DataFrame:

@@ -6,10 +6,11 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed_values as fv
 from ..functions import identity as ident
+from ..functions.base import among, explode_rows
 from ..operators import headers
 from . import oracle as o
 from .registry import query
-from .tables import letters, view
+from .tables import letters, table, view
 
 
 # --- domains and addresses -----------------------------------------------------
@@ -33,7 +34,7 @@ _LINK_HOSTS = """SELECT DISTINCT lower(regexp_extract(url, '^https?://([^/:?#]+)
 @query("lookalike_domains", "J1 F11", oracle="SELECT domain, brand FROM look",
        ctes=o.lookalike(_LINK_HOSTS))
 def lookalike_domains(spark, sf):
-    pages = spark.read.parquet(f"{sf}/pages.parquet").select(
+    pages = table(spark, sf, "pages").select(
         F.lower(F.regexp_extract("url", r"^https?://([^/:?#]+)", 1)).alias("domain"))
     senders = view(spark, sf, "senders").select("domain")
     log = view(spark, sf, "mail_log").select(
@@ -64,8 +65,8 @@ def host_membership(spark, sf):
         "msg_id", "domain", ident.plausible_host("domain").alias("plausible"),
         ident.is_free_mail("domain").alias("free_mail"),
         ident.is_mail_platform("domain").alias("platform"),
-        org.isin(fv.BRAND_OWNED_DOMAINS).alias("brand_owned"),
-        org.isin(fv.TRUSTED_SENDER_DOMAINS).alias("trusted"),
+        among(org, fv.BRAND_OWNED_DOMAINS).alias("brand_owned"),
+        among(org, fv.TRUSTED_SENDER_DOMAINS).alias("trusted"),
         ident.idn_reason("domain").alias("idn"))
 
 
@@ -214,7 +215,7 @@ HEADER_CTES = {
 
 def _header_rows(spark, sf):
     d = headers.header_findings(headers.with_identity(letters(spark, sf, attachments=False)))
-    return d.select("msg_id", F.inline("header_findings"))
+    return explode_rows(d, "header_findings", "msg_id")
 
 
 def _rule_group(name, covers, first, last):
@@ -254,7 +255,7 @@ HEADER_SIGNALS = f"""
     FROM ({HEADER_SIGNALS}) z""", ctes=HEADER_CTES)
 def header_signal_weights(spark, sf):
     d = headers.header_findings(headers.with_identity(letters(spark, sf, attachments=False)))
-    return d.select("msg_id", F.inline(headers.header_signals())) \
+    return explode_rows(d.withColumn("s", headers.header_signals()), "s", "msg_id") \
         .select("msg_id", "indicator", "strength", "weight", "severity")
 
 
@@ -279,5 +280,5 @@ _STANDALONE = " UNION ALL ".join([
 @query("standalone_identity_signals", "P54 P55", oracle=_STANDALONE, ctes=HEADER_CTES)
 def standalone_identity_signals(spark, sf):
     d = headers.with_identity(letters(spark, sf, attachments=False))
-    return d.select("msg_id", F.inline(headers.standalone_identity_signals())) \
+    return explode_rows(d.withColumn("s", headers.standalone_identity_signals()), "s", "msg_id") \
         .select("msg_id", "indicator", "weight")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,7 +12,15 @@ from .views import TABLES, VIEWS, needed
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spark.table(_registered(spark, sf_dir, name))
+
+
+def _registered(spark: SparkSession, sf_dir: str, name: str) -> str:
+    """Temporary view over one parquet table; its footer is read once per session."""
+    alias = f"{name}__{hashlib.md5(sf_dir.encode()).hexdigest()[:8]}"
+    if not spark.catalog.tableExists(alias):
+        spark.read.parquet(f"{sf_dir}/{name}.parquet").createOrReplaceTempView(alias)
+    return alias
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,7 +28,7 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     names = needed(f"SELECT * FROM {name}")
     sources = " ".join(VIEWS[n] for n in names)
     read = [t for t in TABLES if re.search(rf"(?:FROM|JOIN) {t}\b", sources)]
-    ctes = [f"{t} AS (SELECT * FROM parquet.`{sf_dir}/{t}.parquet`)" for t in read]
+    ctes = [f"{t} AS (SELECT * FROM {_registered(spark, sf_dir, t)})" for t in read]
     ctes += [f"{n} AS ({VIEWS[n]})" for n in names]
     return spark.sql(f"WITH {', '.join(ctes)} SELECT * FROM {name}")
 
