@@ -16,6 +16,11 @@ def text(value) -> Column:
     return F.coalesce(col(value), F.lit(""))
 
 
+def strip(value) -> Column:
+    """Text without surrounding white space of any kind."""
+    return F.btrim(col(value), F.lit(" \t\r\n\f\x0b"))
+
+
 def blank_to_null(value) -> Column:
     return F.nullif(col(value), F.lit(""))
 

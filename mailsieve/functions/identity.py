@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .base import among, blank_to_null, col, let, string_array, text
+from .base import among, blank_to_null, col, let, string_array, strip, text
 from . import fixed_values as fv
 
 EMBEDDED_EMAIL = r"[\w.+-]+@[\w-]+\.[\w.-]+"
@@ -21,8 +21,8 @@ def address(header) -> Column:
     """Bare lower-case address; the bracketed one beats a decoy in the display name."""
     raw = text(header)
     return F.lower(F.coalesce(
-        blank_to_null(F.trim(F.regexp_extract(raw, r"<([^<>]*@[^<>]*)>\s*$", 1))),
-        blank_to_null(F.trim(F.regexp_extract(raw, r"<([^>]*@[^>]*)>", 1))),
+        blank_to_null(strip(F.regexp_extract(raw, r"<([^<>]*@[^<>]*)>\s*$", 1))),
+        blank_to_null(strip(F.regexp_extract(raw, r"<([^>]*@[^>]*)>", 1))),
         blank_to_null(F.regexp_extract(raw, r'[^\s<>,;:"()]+@[^\s<>,;:"()]+', 0)),
     ))
 
@@ -38,8 +38,8 @@ def display_name(header) -> Column:
     raw = text(header)
     return F.when(
         F.contains(raw, F.lit("<")),
-        F.trim(F.regexp_extract(raw, r'^\s*"?([^"<]*)"?\s*<', 1)),
-    ).otherwise(F.trim(F.regexp_extract(raw, r"\(([^()]*)\)\s*$", 1)))
+        strip(F.regexp_extract(raw, r'^\s*"?([^"<]*)"?\s*<', 1)),
+    ).otherwise(strip(F.regexp_extract(raw, r"\(([^()]*)\)\s*$", 1)))
 
 
 def clean_host(host) -> Column:
@@ -91,8 +91,8 @@ def same_organisation(a, b) -> Column:
 
 def aligned(child, parent, strict=None) -> Column:
     """DMARC alignment; relaxed unless ``strict`` says otherwise."""
-    c = F.lower(F.rtrim(F.trim(text(child)), F.lit(".")))
-    p = F.lower(F.rtrim(F.trim(text(parent)), F.lit(".")))
+    c = F.lower(F.rtrim(strip(text(child)), F.lit(".")))
+    p = F.lower(F.rtrim(strip(text(parent)), F.lit(".")))
     relaxed = registrable(c) == registrable(p)
     if strict is not None:
         relaxed = relaxed & ~strict

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .base import col, let, text
+from .base import col, let, strip, text
 
 # Zone names of RFC 2822.
 NAMED_ZONES = {
@@ -32,13 +32,13 @@ def parse_mail_date(value) -> Column:
                       F.try_to_timestamp(whole, F.lit("d MMM yyyy H:mm:ss Z")))
 
     bare = F.regexp_replace(text(value), r"\([^()]*\)", " ")
-    bare = F.regexp_replace(F.trim(bare), r"^[A-Za-z]{3,9},?\s+(?=\d)", "")
-    return let(decide, raw=F.trim(F.regexp_replace(bare, r"\s+", " ")))
+    bare = F.regexp_replace(strip(bare), r"^[A-Za-z]{3,9},?\s+(?=\d)", "")
+    return let(decide, raw=strip(F.regexp_replace(bare, r"\s+", " ")))
 
 
 def parse_registry_date(value) -> Column:
     """Registration date in any of the formats registries use."""
-    raw = F.trim(text(value))
+    raw = strip(text(value))
     attempts = [F.try_to_timestamp(raw.substr(1, n), F.lit(fmt)) for n, fmt in (
         (19, "yyyy-MM-dd HH:mm:ss"), (19, "yyyy-MM-dd'T'HH:mm:ss"), (10, "yyyy-MM-dd"),
         (11, "d-MMM-yyyy"), (10, "d.M.yyyy"), (10, "yyyy.M.d"), (10, "yyyy/M/d"))]

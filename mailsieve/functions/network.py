@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .base import blank_to_null, col, let, text
+from .base import blank_to_null, col, let, strip, text
 from .mailtime import parse_mail_date
 
 HOP_IP = r"\[([0-9a-fA-F:.]+)\]|\b(\d{1,3}(?:\.\d{1,3}){3})\b"
@@ -107,7 +107,7 @@ def hop_fields(raw) -> dict[str, Column]:
 
     ip = F.coalesce(blank_to_null(F.regexp_extract(r, HOP_IP, 1)),
                     blank_to_null(F.regexp_extract(r, HOP_IP, 2)))
-    stamp = F.when(F.contains(r, F.lit(";")), F.trim(F.substring_index(r, ";", -1)))
+    stamp = F.when(F.contains(r, F.lit(";")), strip(F.substring_index(r, ";", -1)))
     return {
         "from_host": clause("from"),
         "by_host": clause("by"),

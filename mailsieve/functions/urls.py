@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .base import among, blank_to_null, col, text
+from .base import among, blank_to_null, col, strip, text
 from . import fixed_values as fv
 from .identity import address, domain_of, is_ipv4_host, plausible_host, registrable
 
@@ -88,7 +88,7 @@ def redirects_elsewhere(url) -> Column:
 
 def claimed_host(anchor) -> Column:
     """Host that a link's visible text claims to lead to, or NULL."""
-    shown = F.trim(text(anchor))
+    shown = strip(text(anchor))
     as_url = F.when(F.contains(shown, F.lit("://")), host(shown))
     as_url = F.when(plausible_host(as_url) | is_ipv4_host(as_url), as_url)
     mail = domain_of(address(shown))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed_values as fv
 from ..functions import identity as ident
-from ..functions.base import among, blank_to_null, compact, string_array, text
+from ..functions.base import among, blank_to_null, compact, string_array, strip, text
 from ..functions.mailtime import parse_mail_date
 from ..functions.network import received_host
 from ..functions.scores import signal
@@ -54,7 +54,7 @@ def _pair(a: str, left, b: str, right) -> Column:
 
 def authserv_id(raw) -> Column:
     """Identity of the verifying host in an Authentication-Results header."""
-    found = F.regexp_extract(F.trim(raw), r"^\s*([A-Za-z0-9_.:\[\]-]+)\s*;", 1)
+    found = F.regexp_extract(strip(raw), r"^\s*([A-Za-z0-9_.:\[\]-]+)\s*;", 1)
     return F.btrim(F.lower(found), F.lit("."))
 
 
@@ -116,7 +116,7 @@ def _relation_rules() -> list[Column]:
 
 
 def _message_id_rules() -> list[Column]:
-    mid = F.trim(text("message_id"))
+    mid = strip(text("message_id"))
     inner = F.btrim(mid, F.lit("<>"))
     host = F.lower(F.substring(inner, F.instr(inner, "@") + 1, F.length(inner)))
     has_at = F.contains(inner, F.lit("@"))
@@ -160,7 +160,7 @@ def _auth_header_rules() -> list[Column]:
                   .when(F.size(hosts) == 0, F.lit("stop"))
                   .when(~attributed(who, hosts), F.lit("unattributed"))
                   .otherwise(F.lit("ok")))
-        return F.struct(status.alias("status"), who.alias("who"), F.trim(a).alias("raw"))
+        return F.struct(status.alias("status"), who.alias("who"), strip(a).alias("raw"))
 
     first = F.get(F.filter(F.transform(claims, judged), lambda j: j["status"] != "ok"), F.lit(0))
     return [

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed_values as fv
-from ..functions.base import among, compact, text
+from ..functions.base import among, compact, strip, text
 from ..functions.scores import signal, take_within
 from ..functions.text import decode_entities, meaningful_length, without_raw_bodies
 
@@ -88,14 +88,14 @@ def _styled(selectors):
         ground = F.coalesce(
             F.nullif(F.regexp_extract(style, r"(?:^|;)background(?:-color)?:([^;]+)", 1), F.lit("")),
             css(attribute(raw, "bgcolor")))
-        hidden_attr = has_attribute(raw, "hidden") & F.lower(F.trim(F.coalesce(
+        hidden_attr = has_attribute(raw, "hidden") & F.lower(strip(F.coalesce(
             attribute(raw, "hidden"), F.lit("")))).isin("", "hidden", "true")
-        zero = F.lower(F.trim(text(attribute(raw, "width")))).isin("0", "0px", "0%") \
-            | F.lower(F.trim(text(attribute(raw, "height")))).isin("0", "0px", "0%")
+        zero = F.lower(strip(text(attribute(raw, "width")))).isin("0", "0px", "0%") \
+            | F.lower(strip(text(attribute(raw, "height")))).isin("0", "0px", "0%")
         names = F.concat(
             F.transform(F.split(F.lower(text(attribute(raw, "class"))), r"\s+"),
                         lambda c: F.concat(F.lit("."), c)),
-            F.array(F.concat(F.lit("#"), F.lower(F.trim(text(attribute(raw, "id")))))))
+            F.array(F.concat(F.lit("#"), F.lower(strip(text(attribute(raw, "id")))))))
         by_sheet = (F.size(selectors) > 0) & F.arrays_overlap(names, selectors)
         styleable = ~among(tag, fv.UNSTYLED_TAGS)
         carries = (t["kind"] == "open") & F.contains(raw, F.lit(" "))
@@ -110,7 +110,7 @@ def _styled(selectors):
             .otherwise(0).alias("chars"),
             F.when(t["kind"] == "text", raw.rlike(r"^[\p{L}\p{N}]")).otherwise(
                 F.lit(False)).alias("starts_word"),
-            F.when(t["kind"] == "text", F.when(F.trim(raw) == "", None).otherwise(
+            F.when(t["kind"] == "text", F.when(strip(raw) == "", None).otherwise(
                 raw.rlike(r"[\p{L}\p{N}]\s*$"))).alias("ends_word"),
             ((t["kind"] == "comment") & F.lower(raw).rlike(r"^<!--\s*(\[if|<!\[|\[endif)|endif"))
             .alias("conditional"))
@@ -178,7 +178,7 @@ def with_html_counts(messages: DataFrame) -> DataFrame:
 
     def field(f):
         tag = F.lower(F.regexp_extract(f, r"^<([a-zA-Z]+)", 1))
-        kind = F.lower(F.trim(F.coalesce(
+        kind = F.lower(strip(F.coalesce(
             F.nullif(attribute(f, "type"), F.lit("")),
             F.when(tag == "input", F.lit("text")).otherwise(tag))))
         words = F.concat_ws(" ", *[F.coalesce(attribute(f, n), F.lit("")) for n in
@@ -196,10 +196,10 @@ def with_html_counts(messages: DataFrame) -> DataFrame:
         return source.rlike(r"^(javascript:|vbscript:|data:text/html|data:application)") \
             | has_attribute(f, "srcdoc")
 
-    external = F.filter(raws("form"), lambda f: F.lower(F.trim(
+    external = F.filter(raws("form"), lambda f: F.lower(strip(
         text(attribute(f, "action")))).rlike(r"^(https?://|//|mailto:|ftp://)"))
     refresh = count(raws("meta"),
-                    lambda m: F.lower(F.trim(text(attribute(m, "http-equiv")))) == "refresh")
+                    lambda m: F.lower(strip(text(attribute(m, "http-equiv")))) == "refresh")
     handlers = F.flatten(F.transform("_open", lambda t: F.regexp_extract_all(
         t["raw"], F.lit(r"""(?i)[\s"'/](on[a-z]+)\s*="""), F.lit(1))))
     source = text("body_html")
@@ -293,7 +293,7 @@ def with_html_findings(messages: DataFrame) -> DataFrame:
     ranks = F.create_map(*[F.lit(x) for kv in fv.HTML_SEVERITY_ORDER.items() for x in kv])
     found = F.transform(compact(*rules), lambda f, i: F.struct(
         F.element_at(ranks, f["severity"]).alias("rank"), i.alias("i"), f.alias("f")))
-    has_body = F.trim(text("body_html")) != ""
+    has_body = strip(text("body_html")) != ""
     return messages.withColumn("html_findings", F.when(
         has_body, F.transform(F.array_sort(found), lambda x: x["f"]))
         .otherwise(F.expr("array()")).cast(f"array<{FINDING}>"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import fixed_values as fv
 from ..functions import identity as ident
 from ..functions import urls
-from ..functions.base import among, compact, explode_rows, extend, let, text
+from ..functions.base import among, compact, explode_rows, extend, let, strip, text
 from ..functions.scores import signal
 from ..functions.text import decode_entities
 
@@ -19,15 +19,15 @@ def _raw_links(body_html, body_plain) -> Column:
     """Links of the HTML part, then of the plain part, as (raw, anchor)."""
     def anchor_link(element):
         return F.struct(
-            F.trim(F.regexp_extract(element, urls.ANCHOR_ELEMENT, 1)).alias("raw"),
-            F.trim(F.regexp_replace(F.regexp_extract(element, urls.ANCHOR_ELEMENT, 2),
+            strip(F.regexp_extract(element, urls.ANCHOR_ELEMENT, 1)).alias("raw"),
+            strip(F.regexp_replace(F.regexp_extract(element, urls.ANCHOR_ELEMENT, 2),
                                     r"<[^>]+>", "")).alias("anchor"))
 
     in_html = F.transform(
         F.regexp_extract_all(text(body_html), F.lit(urls.ANCHOR_ELEMENT), F.lit(0)), anchor_link)
     in_text = F.transform(
         F.regexp_extract_all(text(body_plain), F.lit(urls.PLAIN_URL), F.lit(0)),
-        lambda u: F.struct(F.trim(u).alias("raw"), F.lit("").alias("anchor")))
+        lambda u: F.struct(strip(u).alias("raw"), F.lit("").alias("anchor")))
     return F.concat(in_html, in_text)
 
 
@@ -60,8 +60,8 @@ def with_links(messages: DataFrame) -> DataFrame:
     d = d.withColumn("links", extend(
         F.col("links"),
         is_suspicious=lambda u: u["risky_tld"] | u["idn"].isNotNull() | u["lookalike"].isNotNull(),
-        is_mismatched=lambda u: F.coalesce(
-            ident.registrable(u["claims"]) != ident.registrable(u["host"]), F.lit(False))))
+        is_mismatched=lambda u: u["claims"].isNotNull()
+        & (ident.registrable(u["claims"]) != ident.registrable(u["host"]))))
     return d.withColumn("links", extend(F.col("links"), findings=lambda u: compact(
         F.when(u["is_ip"], F.concat(F.lit("ip:"), u["host"])),
         F.when(u["is_shortener"], F.concat(F.lit("shortener:"), u["host"])),

@@ -1,4 +1,4 @@
 """All registered queries; importing this module fills the registry."""
 
-from . import identity_queries, message_queries  # noqa: F401
+from . import body_queries, identity_queries, message_queries  # noqa: F401
 from .registry import COVERS, ORACLES, QUERIES  # noqa: F401

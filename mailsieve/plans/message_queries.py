@@ -294,8 +294,9 @@ def auth_explanations(spark, sf):
                               FROM hosts_by GROUP BY msg_id) h ON h.msg_id = l.msg_id""")
 def auth_attribution(spark, sf):
     d = headers.with_identity(letters(spark, sf, attachments=False))
+    d = d.withColumn("attributed", auth.is_attributed())
     return d.select("msg_id", F.array_join("received_hosts", ",").alias("received_hosts"),
-                    auth.is_attributed().alias("attributed"))
+                    "attributed")
 
 
 @query("auth_signal_weights", "J12 F27", ctes={**AUTH_CTES, "auth_sig": o.auth_signals("claims")}, oracle="""

@@ -89,6 +89,12 @@ VIEWS["mail_html"] = """
 SELECT g.page_id AS msg_id, concat(g.html, a.snippet) AS body_html
 FROM pages g JOIN snippets a ON a.k = g.page_id % 7"""
 
+VIEWS["linked"] = """
+SELECT h.msg_id, h.body_html,
+       concat('See ', g.url, ' or HTTP://bit.ly/Ab now, also https://example.org/r?a=1&next=https%3A%2F%2Fclaims.tk%2Fy ',
+              'and http://paypa1.com/login?goto=https://www.paypa1.com/in') AS body_plain
+FROM mail_html h JOIN pages g ON g.page_id = h.msg_id"""
+
 # More markup shapes, one per page, so that every HTML rule meets hits and near misses.
 VIEWS["markup_dim"] = """
 SELECT * FROM (VALUES
