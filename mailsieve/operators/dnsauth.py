@@ -14,7 +14,7 @@ from ..functions.base import blank_to_null, compact, text
 from ..functions.identity import aligned, registrable
 from ..functions.network import ipv4_number, is_ipv6, sending_ip
 from . import auth
-from .scale import salted_lookup
+from .scale import durable, salted_lookup
 
 # Limits and qualifiers of SPF.
 MAX_DEPTH, MAX_LOOKUPS, MAX_MX_HOSTS = 5, 10, 10
@@ -132,12 +132,18 @@ def _addresses(dns: DataFrame) -> DataFrame:
 
 
 def evaluate_spf(asked: DataFrame, dns: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
-    """SPF verdict of every distinct (domain, ip) in ``asked``."""
+    """SPF verdict of every distinct (domain, ip) in ``asked``.
+
+    The pairs and the terms they try are checkpointed: they are read once per round,
+    and without that every round would repeat the whole plan behind ``asked``.
+    """
     policies = spf_policies(dns)
     terms = spf_terms(policies)
-    roots = asked.select(F.lower("domain").alias("domain"), "ip").distinct()
-    names = spf_nesting(terms, roots, max_depth).select("root", "name").distinct()
-    pairs = roots.join(names, roots.domain == names.root).select("name", "ip").distinct()
+    roots = durable(asked.select(F.lower("domain").alias("root"), "ip").distinct())
+    names = durable(spf_nesting(terms, roots.select(F.col("root").alias("domain")), max_depth))
+    deepest = names.agg(F.coalesce(F.max("depth"), F.lit(0))).first()[0]
+    pairs = durable(roots.join(names.select("root", "name").distinct(), "root")
+                    .select("name", "ip").distinct())
 
     tries = pairs.join(terms, "name").withColumn("target", F.lower(F.regexp_replace(
         F.coalesce(blank_to_null(F.col("argument")), F.col("name")), r"%\{[iI]\}", F.col("ip"))))
@@ -154,11 +160,12 @@ def evaluate_spf(asked: DataFrame, dns: DataFrame, max_depth: int = MAX_DEPTH) -
             | (F.col("mechanism").isin("ip4", "ip6") & in_network("ip", F.col("argument")))
             | F.coalesce("hit", F.lit(False))).alias("matched"))
 
+    tries = durable(tries)
     results = None
-    for _ in range(max_depth + 1):
+    for _ in range(deepest + 1):
         results = _spf_round(pairs, policies, tries, results)
-    return results.join(roots, (results.name == roots.domain) & (results.ip == roots.ip)) \
-        .select(roots.domain, roots.ip, F.when(
+    return results.withColumnRenamed("name", "root").join(roots, ["root", "ip"]) \
+        .select(F.col("root").alias("domain"), "ip", F.when(
             F.col("lookups") > MAX_LOOKUPS, "permerror").otherwise(F.col("spf")).alias("spf"),
             "lookups")
 
@@ -311,6 +318,7 @@ def verified_auth(messages: DataFrame, dns: DataFrame, dkim_results: DataFrame)
         F.lower(auth.envelope_domain()).alias("envelope"),
         F.coalesce("designated_ip", sending_ip("received_chain", originating)).alias("client_ip"),
         F.exists("headers", lambda h: F.lower(h["name"]) == "dkim-signature").alias("is_signed"))
+    d = durable(d)
     asked = d.where(F.col("envelope").isNotNull() & F.col("client_ip").isNotNull()) \
         .select(F.col("envelope").alias("domain"), F.col("client_ip").alias("ip")).distinct()
     spf = evaluate_spf(asked, dns).select(
