@@ -296,7 +296,7 @@ HTML_CTES = {
     "html_sig": """
         SELECT msg_id, 700 + rn AS seq, concat('HTML Forensics: ', indicator) AS indicator,
                CASE WHEN weight >= 18 THEN 'strong' ELSE 'weak' END AS strength,
-               greatest(0, least(weight, 30 - used)) AS weight, severity
+               greatest(0, least(z.weight, 30 - used)) AS weight, severity, z.weight AS full_weight
         FROM (SELECT *, coalesce(sum(weight) OVER (PARTITION BY msg_id ORDER BY rn
                 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS used FROM (
           SELECT r.msg_id, r.severity, w.weight, w.indicator,

@@ -195,7 +195,9 @@ def _address(column):
 
 
 @query("all_signals", "U1", ctes=FULL_CTES, oracle="""
-    SELECT msg_id, indicator, original_weight, CAST(weight AS INT) AS weight, strength, family FROM sig_capped""")
+    SELECT c.msg_id, c.indicator, coalesce(h.full_weight, c.original_weight) AS original_weight,
+           CAST(c.weight AS INT) AS weight, c.strength, c.family
+    FROM sig_capped c LEFT JOIN h_html_sig h ON h.msg_id = c.msg_id AND h.indicator = c.indicator""")
 def all_signals(spark, sf):
     return explode_rows(full_analysis(spark, sf), "signals", "msg_id").select(
         "msg_id", "indicator", "original_weight", "weight", "strength", "family")
