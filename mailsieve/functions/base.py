@@ -52,14 +52,18 @@ def explode_rows(df, array: str, *keep: str, pos: str | None = None):
     return rows.select(*keep, *([F.col("_pos").alias(pos)] if pos else []), "_row.*")
 
 
-def extend(rows: Column, **fields) -> Column:
+def extend(rows: Column, many=None, **fields) -> Column:
     """Add fields to every struct of an array; each value is a function of the struct.
 
-    Applied in stages this works as a per-row ``let``: a later stage reads what
-    an earlier one computed instead of repeating the expression.
+    ``many`` may return several fields at once.  Applied in stages this works as a
+    per-row ``let``: a later stage reads what an earlier one computed instead of
+    repeating the expression.
     """
-    return F.transform(
-        rows, lambda r: reduce(lambda acc, kv: acc.withField(kv[0], kv[1](r)), fields.items(), r))
+    def added(r):
+        values = dict(many(r)) if many else {}
+        values.update({name: fn(r) for name, fn in fields.items()})
+        return reduce(lambda acc, kv: acc.withField(kv[0], kv[1]), values.items(), r)
+    return F.transform(rows, added)
 
 
 def compact(*items) -> Column:

@@ -112,7 +112,6 @@ def hop_fields(raw) -> dict[str, Column]:
         "from_host": clause("from"),
         "by_host": clause("by"),
         "ip": ip,
-        "ip_class": ip_class(ip),
         "protocol": clause("with"),
         "recipient": blank_to_null(F.regexp_extract(r, r"(?i)\bfor\s+<([^>]+)>", 1)),
         "stamp": stamp,

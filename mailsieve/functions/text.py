@@ -86,18 +86,16 @@ def meaningful_length(value) -> Column:
     return F.length(F.regexp_replace(text(value), INSIGNIFICANT, ""))
 
 
-def first_phrase(body, subject, required, pattern: str) -> Column:
-    """First match of a pattern in the body, else in the subject, else NULL.
+def first_phrase(required, pattern: str, *texts) -> Column:
+    """First match of a pattern in the first of ``texts`` that has one, or NULL.
 
-    The cheap substring tests run first, so the regular expression only ever
-    sees texts that hold all of its words.
+    ``texts`` are (column, lower-cased column) pairs.  The cheap substring tests run
+    first, so the regular expression only sees texts that hold all of its words.
     """
-    def search(value):
-        lowered = F.lower(value)
-        present = None
-        for word in required:
-            hit = F.contains(lowered, F.lit(word))
-            present = hit if present is None else present & hit
+    def search(value, lowered):
+        present = F.contains(col(lowered), F.lit(required[0]))
+        for word in required[1:]:
+            present = present & F.contains(col(lowered), F.lit(word))
         return F.when(present, F.nullif(F.regexp_extract(value, f"(?iU){pattern}", 0), F.lit("")))
 
-    return F.coalesce(search(col(body)), search(col(subject)))
+    return F.coalesce(*[search(value, lowered) for value, lowered in texts])

@@ -14,8 +14,11 @@ FAMILY = "message content"
 
 
 def with_match_text(messages: DataFrame) -> DataFrame:
-    return messages.withColumns({"subject_text": normalise("subject"),
-                                 "match_text": match_text("body_plain", "body_html")})
+    """Add the texts that wording rules read, each also in lower case."""
+    d = messages.withColumns({"subject_text": normalise("subject"),
+                              "match_text": match_text("body_plain", "body_html")})
+    return d.withColumns({"subject_lower": F.lower("subject_text"),
+                          "match_lower": F.lower("match_text")})
 
 
 def phrase_hits(families=None) -> dict[str, Column]:
@@ -26,13 +29,13 @@ def phrase_hits(families=None) -> dict[str, Column]:
     out = {}
     for family, _, _, _, patterns in families or fv.PHRASE_FAMILIES:
         out[family] = F.coalesce(*[
-            first_phrase("match_text", "subject_text", words, pattern)
-            for words, pattern in patterns])
+            first_phrase(words, pattern, ("match_text", "match_lower"),
+                         ("subject_text", "subject_lower")) for words, pattern in patterns])
     return out
 
 
 def keyword_hits(words=None) -> Column:
-    body, subject = F.lower("match_text"), F.lower("subject_text")
+    body, subject = F.col("match_lower"), F.col("subject_lower")
     return compact(*[F.when(F.contains(body, F.lit(w)) | F.contains(subject, F.lit(w)), F.lit(w))
                      for w in words or fv.SUSPICIOUS_KEYWORDS])
 
