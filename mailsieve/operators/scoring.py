@@ -9,6 +9,7 @@ from ..functions import scores
 from ..functions.base import explode_rows, text
 from ..functions.identity import trusted_sender
 from .headers import diverted
+from .scale import durable
 
 
 def with_trust(messages: DataFrame) -> DataFrame:
@@ -88,5 +89,9 @@ def signal_rows(scored: DataFrame) -> DataFrame:
 
 
 def ranked(verdict_rows: DataFrame, *tiebreak: str) -> DataFrame:
-    """Batch order: highest score first, stable on the tiebreak columns."""
-    return verdict_rows.orderBy(F.desc("score"), *(tiebreak or ("msg_id",)))
+    """Batch order: highest score first, stable on the tiebreak columns.
+
+    A global sort reads its input twice, once to sample the ranges; the narrow verdict
+    rows are checkpointed so that the analysis behind them runs once.
+    """
+    return durable(verdict_rows).orderBy(F.desc("score"), *(tiebreak or ("msg_id",)))

@@ -48,4 +48,4 @@ def streamed_sender_baseline(spark, sf):
 @query("request_rate_limit", "T3")
 def request_rate_limit(spark, sf):
     """Order-dependent bucket per user; checked against a plain walk in the tests."""
-    return ratelimit.limited(table(spark, sf, "events"), rate=5, per=60 * 60 * 24 * 30.0)
+    return ratelimit.limited(table(spark, sf, "events"), rate=5, per=60 * 60 * 6.0)

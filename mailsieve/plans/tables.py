@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import os
 import re
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,10 +20,21 @@ def _registered(spark: SparkSession, sf_dir: str, name: str) -> str:
     """Temporary view over one parquet table; its footer is read once per session."""
     alias = f"{name}__{hashlib.md5(sf_dir.encode()).hexdigest()[:8]}"
     if not spark.catalog.tableExists(alias):
-        spark.read.parquet(f"{sf_dir}/{name}.parquet").createOrReplaceTempView(alias)
+        _spread(spark, f"{sf_dir}/{name}.parquet").createOrReplaceTempView(alias)
     return alias
 
 
+def _spread(spark: SparkSession, path: str) -> DataFrame:
+    """A small single file is one row group and so one task; give its rows to all cores.
+
+    Tables of many files keep the partitions their files give them.
+    """
+    df = spark.read.parquet(path)
+    if os.path.isfile(path) and 1 << 20 < os.path.getsize(path) < 1 << 28:
+        return df.repartition(spark.sparkContext.defaultParallelism)
+    return df
+
+
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One derived view, as a plan over the parquet tables."""
     names = needed(f"SELECT * FROM {name}")
@@ -33,27 +45,56 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.sql(f"WITH {', '.join(ctes)} SELECT * FROM {name}")
 
 
-def _arrays(rows: DataFrame, name: str, *fields: str) -> DataFrame:
-    packed = F.array_sort(F.collect_list(F.struct("pos", *fields)))
-    if fields == ("raw",):
-        packed = F.transform(packed, lambda r: r["raw"])
-    return rows.groupBy("msg_id").agg(packed.alias(name))
+def _dimension(spark, sf_dir, name: str, key: str, *fields: str) -> DataFrame:
+    """A fixed VALUES list as one array per key; a handful of rows, so it is broadcast."""
+    rows = view(spark, sf_dir, name).groupBy(F.col(key).alias(f"_{name}")).agg(
+        F.array_sort(F.collect_list(F.struct("pos", *fields))).alias(name))
+    return F.broadcast(rows)
 
 
 def letters(spark: SparkSession, sf_dir: str, attachments: bool = True) -> DataFrame:
-    """Messages in the engine's row shape, built from the derived child tables."""
+    """Messages in the engine's row shape.
+
+    Header arrays are put together on the row from the fixed dimensions, as a parsed
+    message would have them; no message is regrouped from child tables.
+    """
     d = view(spark, sf_dir, "letters").withColumns({"cc_raw": F.lit(""), "bcc_raw": F.lit("")})
-    d = d.join(_arrays(view(spark, sf_dir, "received"), "received_chain", "raw"), "msg_id", "left")
-    d = d.join(_arrays(view(spark, sf_dir, "auth_results"), "authentication_results", "raw"),
-               "msg_id", "left")
-    d = d.join(_arrays(view(spark, sf_dir, "header_rows"), "headers", "name", "value"),
-               "msg_id", "left")
-    if attachments:
-        a = view(spark, sf_dir, "attachments").groupBy("msg_id").agg(F.array_sort(F.collect_list(
-            F.struct("pos", "filename", "content"))).alias("attachments"))
-        d = d.join(a, "msg_id", "left")
-        d = d.withColumn("attachments", F.coalesce("attachments", F.expr(
-            "cast(array() as array<struct<pos:int,filename:string,content:binary>>)")))
+    for name, key, modulus, fields in (("hops_dim", "chain", 5, ["raw"]), ("ar_dim", "k", 6, ["tpl"]),
+                                       ("quirks_dim", "k", 8, ["name", "value"])):
+        d = d.join(_dimension(spark, sf_dir, name, key, *fields),
+                   F.col("msg_id") % modulus == F.col(f"_{name}"), "left").drop(f"_{name}")
     none = F.expr("cast(array() as array<string>)")
-    return d.withColumns({c: F.coalesce(c, none)
-                          for c in ("received_chain", "authentication_results")})
+
+    def filled(template):
+        for mark, column in (("{spf}", "claimed_spf"), ("{dkim}", "claimed_dkim"),
+                             ("{dmarc}", "claimed_dmarc"), ("{dom}", "claimed_domain")):
+            template = F.replace(template, F.lit(mark), F.col(column))
+        return template
+
+    d = d.withColumns({
+        "received_chain": F.coalesce(F.transform("hops_dim", lambda h: h["raw"]), none),
+        "authentication_results": F.coalesce(
+            F.transform("ar_dim", lambda a: filled(a["tpl"])), none)})
+
+    def line(name, value):
+        return F.struct(F.lit(name).alias("name"), value.alias("value"))
+
+    own = [("From", "from_raw"), ("To", "to_raw"), ("Sender", "sender_raw"),
+           ("Reply-To", "reply_to_raw"), ("Return-Path", "return_path_raw"),
+           ("Subject", "subject"), ("Message-ID", "message_id"), ("Date", "date")]
+    quirks = F.coalesce(
+        F.transform("quirks_dim", lambda q: F.struct(q["name"].alias("name"), q["value"].alias("value"))),
+        F.expr("cast(array() as array<struct<name:string,value:string>>)"))
+    lines = F.filter(F.concat(
+        F.transform("received_chain", lambda r: line("Received", r)),
+        F.transform("authentication_results", lambda r: line("Authentication-Results", r)),
+        F.array(*[line(n, F.col(c)) for n, c in own]), quirks), lambda h: h["value"] != "")
+    d = d.withColumn("headers", F.transform(lines, lambda h, i: F.struct(
+        i.alias("pos"), h["name"].alias("name"), h["value"].alias("value")))) \
+        .drop("hops_dim", "ar_dim", "quirks_dim")
+    if not attachments:
+        return d
+    a = view(spark, sf_dir, "attachments").select("msg_id", F.array(
+        F.struct("pos", "filename", "content")).alias("attachments"))
+    return d.join(a, "msg_id", "left").withColumn("attachments", F.coalesce("attachments", F.expr(
+        "cast(array() as array<struct<pos:int,filename:string,content:binary>>)")))

@@ -5,7 +5,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 OUTPUT = "user_id bigint, event_id bigint, allowed boolean"
@@ -45,21 +46,45 @@ def limited_stream(requests: DataFrame, rate: int = 5, per: float = 60.0) -> Dat
         update, OUTPUT, "tokens double, last double", "append", GroupStateTimeout.NoTimeout)
 
 
+def idle_segments(requests: DataFrame, per: float) -> DataFrame:
+    """Number the stretches of a client's requests that idle pauses of ``per`` separate.
+
+    After such a pause the bucket is full again, so stretches are independent.  A pause
+    can only lie between two time slots of width ``per``, so it shows in the first and
+    last request of each slot, which are aggregated before the shuffle.
+    """
+    span = int(per * 1_000_000)
+    d = requests.withColumn("_us", F.unix_micros(F.col("ts").cast("timestamp"))) \
+        .withColumn("_slot", F.floor(F.col("_us") / span))
+    in_order = Window.partitionBy("user_id").orderBy("_slot")
+    slots = d.groupBy("user_id", "_slot").agg(F.min("_us").alias("lo"), F.max("_us").alias("hi"))
+    pause = F.coalesce(F.col("lo") - F.lag("hi").over(in_order) >= span, F.lit(False))
+    slots = slots.withColumn("_pause", pause.cast("int")) \
+        .withColumn("segment", F.sum("_pause").over(in_order)) \
+        .select("user_id", "_slot", "segment")
+    return d.join(slots, ["user_id", "_slot"]).drop("_us", "_slot")
+
+
 def limited(requests: DataFrame, rate: int = 5, per: float = 60.0) -> DataFrame:
-    """Batch twin.  Requests are sorted inside partitions of whole clients and walked
-    with one bucket at a time; nothing is held but the current bucket."""
+    """Batch twin, over independent stretches of each client's requests.
+
+    Rows are sorted inside partitions of whole stretches and walked in batches with
+    one bucket at a time; nothing is held but the current bucket.
+    """
     def walk(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        client, tokens, last = None, float(rate), None
+        current, tokens, last = None, float(rate), None
         for frame in frames:
+            seconds = frame["ts"].astype("datetime64[us]").astype("int64").to_numpy() / 1e6
             decisions = []
-            for user, group in frame.groupby("user_id", sort=False):
-                if user != client:
-                    client, tokens, last = user, float(rate), None
-                seconds = group["ts"].astype("datetime64[us]").astype("int64") / 1e6
-                allowed, tokens, last = spend(seconds, tokens, last, rate, per)
+            for key, now in zip(zip(frame["user_id"], frame["segment"]), seconds):
+                if key != current:
+                    current, tokens, last = key, float(rate), None
+                allowed, tokens, last = spend((now,), tokens, last, rate, per)
                 decisions.extend(allowed)
             yield pd.DataFrame({"user_id": frame["user_id"], "event_id": frame["event_id"],
                                 "allowed": decisions})
 
-    return requests.select("user_id", "event_id", "ts").repartition("user_id") \
-        .sortWithinPartitions("user_id", "ts", "event_id").mapInPandas(walk, OUTPUT)
+    rows = idle_segments(requests.select("user_id", "event_id", "ts"), per)
+    return rows.repartition("user_id", "segment") \
+        .sortWithinPartitions("user_id", "segment", "ts", "event_id") \
+        .select("user_id", "segment", "event_id", "ts").mapInPandas(walk, OUTPUT)
