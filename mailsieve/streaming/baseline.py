@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from collections import Counter, deque
 from collections.abc import Iterator
 
 import pandas as pd
@@ -23,22 +24,29 @@ def baseline_stream(log: DataFrame, limit: int = fv.BASELINE_LIMIT,
     """First-contact facts of each arriving message.
 
     State per recipient is the last ``limit`` (address, organisation) pairs, so it is
-    bounded for any mailbox.  Rows of a batch are taken in time order; a message that
-    arrives after later ones is compared with what had arrived before it.
+    bounded for any mailbox; the rows of one call are those of one micro-batch, which the
+    source's trigger bounds.  They are taken in time order; a message that arrives after
+    later ones is compared with what had arrived before it.
     """
     def update(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        seen = json.loads(state.get[0]) if state.exists else []
+        seen = deque(json.loads(state.get[0]) if state.exists else [])
+        addresses = Counter(a for a, _ in seen)
+        orgs = Counter(d for _, d in seen)
         out = []
         batch = pd.concat(list(frames)).sort_values(["ts", "id"])
         for row in batch.itertuples(index=False):
-            prior = len(seen)
-            same_address = sum(1 for a, _ in seen if a == row.from_addr)
-            same_org = sum(1 for _, d in seen if d == row.from_org)
+            prior, same_address, same_org = len(seen), addresses[row.from_addr], orgs[row.from_org]
             ready = prior >= minimum
             out.append((key[0], row.id, prior, same_address, same_org, ready,
                         ready and same_address == 0, ready and same_org == 0))
-            seen = (seen + [[row.from_addr, row.from_org]])[-limit:]
-        state.update((json.dumps(seen),))
+            seen.append([row.from_addr, row.from_org])
+            addresses[row.from_addr] += 1
+            orgs[row.from_org] += 1
+            if len(seen) > limit:
+                old_address, old_org = seen.popleft()
+                addresses[old_address] -= 1
+                orgs[old_org] -= 1
+        state.update((json.dumps(list(seen)),))
         yield pd.DataFrame(out, columns=[c.split()[0] for c in OUTPUT.split(", ")])
 
     rows = log.where(F.col("from_addr").isNotNull()).select(

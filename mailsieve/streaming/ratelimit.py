@@ -12,17 +12,17 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 OUTPUT = "user_id bigint, event_id bigint, allowed boolean"
 
 
-def spend(times, tokens: float, last: float | None, rate: int, per: float):
-    """Walk request times (seconds); returns the decisions and the bucket after them."""
-    allowed = []
-    for now in times:
+def bucket(rate: int, per: float):
+    """A function that decides one request: (now, tokens, last) to (allowed, tokens).
+
+    It is made inside a function so that it travels to the workers by value and the
+    package need not be installed there.
+    """
+    def decide(now: float, tokens: float, last: float | None):
         if last is not None:
             tokens = min(float(rate), tokens + (now - last) * rate / per)
-        last = now
-        allowed.append(tokens >= 1)
-        if tokens >= 1:
-            tokens -= 1
-    return allowed, tokens, last
+        return (True, tokens - 1) if tokens >= 1 else (False, tokens)
+    return decide
 
 
 def limited_stream(requests: DataFrame, rate: int = 5, per: float = 60.0) -> DataFrame:
@@ -31,15 +31,20 @@ def limited_stream(requests: DataFrame, rate: int = 5, per: float = 60.0) -> Dat
     The state is two numbers per client.  Requests are read frame by frame in arrival
     order, so a busy client never has to fit in memory.
     """
+    decide = bucket(rate, per)
+
     def update(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         tokens, last = state.get if state.exists else (float(rate), None)
         last = None if last is None or pd.isna(last) else last
         for frame in frames:
             frame = frame.sort_values(["ts", "event_id"])
-            seconds = frame["ts"].astype("datetime64[us]").astype("int64") / 1e6
-            allowed, tokens, last = spend(seconds, tokens, last, rate, per)
+            decisions = []
+            for now in frame["ts"].astype("datetime64[us]").astype("int64").to_numpy() / 1e6:
+                allowed, tokens = decide(now, tokens, last)
+                last = now
+                decisions.append(allowed)
             yield pd.DataFrame({"user_id": frame["user_id"], "event_id": frame["event_id"],
-                                "allowed": allowed})
+                                "allowed": decisions})
         state.update((tokens, last))
 
     return requests.select("user_id", "event_id", "ts").groupBy("user_id").applyInPandasWithState(
@@ -71,6 +76,8 @@ def limited(requests: DataFrame, rate: int = 5, per: float = 60.0) -> DataFrame:
     Rows are sorted inside partitions of whole stretches and walked in batches with
     one bucket at a time; nothing is held but the current bucket.
     """
+    decide = bucket(rate, per)
+
     def walk(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         current, tokens, last = None, float(rate), None
         for frame in frames:
@@ -79,8 +86,9 @@ def limited(requests: DataFrame, rate: int = 5, per: float = 60.0) -> DataFrame:
             for key, now in zip(zip(frame["user_id"], frame["segment"]), seconds):
                 if key != current:
                     current, tokens, last = key, float(rate), None
-                allowed, tokens, last = spend((now,), tokens, last, rate, per)
-                decisions.extend(allowed)
+                allowed, tokens = decide(now, tokens, last)
+                last = now
+                decisions.append(allowed)
             yield pd.DataFrame({"user_id": frame["user_id"], "event_id": frame["event_id"],
                                 "allowed": decisions})
 

@@ -85,3 +85,18 @@ def test_expired_answers_count_as_absent(spark):
     held = spark.sql("select 'a.com' domain, '2001-01-01' created, true ok, timestamp'2026-01-05' expires")
     got = {r.id: (r.cached, r.created) for r in lookups.with_valid_answer(asked, held).collect()}
     assert got == {1: (True, "2001-01-01"), 2: (False, None), 3: (False, None)}
+
+
+def test_rate_limit_stream_equals_batch(spark, tmp_path):
+    d = spark.range(600).select(
+        F.col("id").alias("event_id"), (F.col("id") % 5).alias("user_id"),
+        F.timestamp_seconds(F.col("id") * 3).alias("ts"))
+    d.write.parquet(str(tmp_path / "in"))
+    stream = ratelimit.limited_stream(
+        spark.readStream.schema(d.schema).parquet(str(tmp_path / "in")), 5, 120.0)
+    stream.writeStream.format("memory").queryName("limited").option(
+        "checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True) \
+        .start().awaitTermination()
+    got = {r.event_id: r.allowed for r in spark.table("limited").collect()}
+    assert got == {r.event_id: r.allowed for r in ratelimit.limited(d, 5, 120.0).collect()}
+    assert not all(got.values())
