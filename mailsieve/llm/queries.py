@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, common, secrets
+from . import bpe, chat, common, packing, secrets
 
 
 def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,5 +18,18 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(common.documents(spark, sf_dir), bpe.default_vocabulary())
 
 
-QUERIES = {f.__name__: f for f in (op1_secrets, op2_bpe)}
-ORACLES: dict[str, str] = {}
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(common.documents(spark, sf_dir), bpe.default_vocabulary())
+
+
+def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = common.read(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")
+    check = spark.range(2).select(
+        F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
+        F.lit(chat.CHECK_TEXT).alias("text"))
+    return chat.digest(chat.format_paths(chat.chain(turns.unionByName(check))))
+
+
+QUERIES = {f.__name__: f for f in (op1_secrets, op2_bpe, op7_packing, op9_chat)}
+ORACLES: dict[str, str] = {"op9_chat": chat.ORACLE}
