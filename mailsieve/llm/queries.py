@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, common, packing, secrets
+from . import bpe, chat, common, packing, secrets, vafile
 
 
 def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,6 +18,11 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(common.documents(spark, sf_dir), bpe.default_vocabulary())
 
 
+def op6_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = vafile.integer_vectors(common.read(spark, sf_dir, "embeddings", "vec_id", "embedding"))
+    return vafile.top_k(vectors, vectors.where(F.col("vec_id") % 50 == 0))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(common.documents(spark, sf_dir), bpe.default_vocabulary())
 
@@ -31,5 +36,5 @@ def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest(chat.format_paths(chat.chain(turns.unionByName(check))))
 
 
-QUERIES = {f.__name__: f for f in (op1_secrets, op2_bpe, op7_packing, op9_chat)}
-ORACLES: dict[str, str] = {"op9_chat": chat.ORACLE}
+QUERIES = {f.__name__: f for f in (op1_secrets, op2_bpe, op6_top_k, op7_packing, op9_chat)}
+ORACLES: dict[str, str] = {"op6_top_k": vafile.ORACLE, "op9_chat": chat.ORACLE}
