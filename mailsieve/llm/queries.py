@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, common, packing, secrets, vafile
+from . import bpe, chat, common, langid, packing, secrets, vafile
 
 
 def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,5 +36,12 @@ def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest(chat.format_paths(chat.chain(turns.unionByName(check))))
 
 
-QUERIES = {f.__name__: f for f in (op1_secrets, op2_bpe, op6_top_k, op7_packing, op9_chat)}
+def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.read(spark, sf_dir, "documents", "doc_id", "text", "lang")
+    held_out = langid.is_held_out(F.col("doc_id"))
+    langs, net = langid.train(docs.where(~held_out))
+    return langid.predict(docs, langs, net).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+QUERIES = {f.__name__: f for f in (op1_secrets, op2_bpe, op6_top_k, op7_packing, op9_chat, op10_language)}
 ORACLES: dict[str, str] = {"op6_top_k": vafile.ORACLE, "op9_chat": chat.ORACLE}
