@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, common, langid, packing, secrets, substrings, vafile
+from . import bpe, chat, common, langid, packing, secrets, substrings, suffixes, vafile
 
 
 def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,6 +23,11 @@ def op3_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op4_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.dedup(common.documents(spark, sf_dir)).select(
+        "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op6_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = vafile.integer_vectors(common.read(spark, sf_dir, "embeddings", "vec_id", "embedding"))
     return vafile.top_k(vectors, vectors.where(F.col("vec_id") % 50 == 0))
@@ -48,5 +53,5 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, langs, net).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
-QUERIES = {f.__name__: f for f in (op1_secrets, op2_bpe, op3_substrings, op6_top_k, op7_packing, op9_chat, op10_language)}
+QUERIES = {f.__name__: f for f in (op1_secrets, op2_bpe, op3_substrings, op4_suffixes, op6_top_k, op7_packing, op9_chat, op10_language)}
 ORACLES: dict[str, str] = {"op6_top_k": vafile.ORACLE, "op9_chat": chat.ORACLE}
