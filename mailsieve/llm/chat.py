@@ -55,8 +55,8 @@ def paths(nodes: DataFrame) -> DataFrame:
              .join(edges.select("conv_id", F.col("to").alias("node")).distinct(), ["conv_id", "node"], "left_anti")
              .select("conv_id", F.col("node").alias("leaf"), "node", F.lit(0).cast("long").alias("up")))
     for k in reversed(range(len(jumps))):
-        found = found.unionByName(found.join(jumps[k], ["conv_id", "node"]).select(
-            "conv_id", "leaf", F.col("to").alias("node"), (F.col("up") + 2 ** k).alias("up")))
+        found = stage_table(found.unionByName(found.join(jumps[k], ["conv_id", "node"]).select(
+            "conv_id", "leaf", F.col("to").alias("node"), (F.col("up") + 2 ** k).alias("up"))))
     return found
 
 
