@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, common, langid, packing, secrets, substrings, suffixes, vafile
+from . import bpe, chat, common, fingerprints, langid, neardup, packing, secrets, substrings, suffixes, vafile
 
 
 def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,6 +28,10 @@ def op4_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.compare(common.documents(spark, sf_dir))
+
+
 def op6_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = vafile.integer_vectors(common.read(spark, sf_dir, "embeddings", "vec_id", "embedding"))
     return vafile.top_k(vectors, vectors.where(F.col("vec_id") % 50 == 0))
@@ -37,6 +41,10 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(common.documents(spark, sf_dir), bpe.default_vocabulary())
 
 
+def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(common.documents(spark, sf_dir))
+
+
 def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = common.read(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")
     check = spark.range(2).select(
@@ -53,5 +61,5 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, langs, net).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
-QUERIES = {f.__name__: f for f in (op1_secrets, op2_bpe, op3_substrings, op4_suffixes, op6_top_k, op7_packing, op9_chat, op10_language)}
+QUERIES = {f.__name__: f for f in (op1_secrets, op2_bpe, op3_substrings, op4_suffixes, op5_fingerprints, op6_top_k, op7_packing, op8_near_duplicates, op9_chat, op10_language)}
 ORACLES: dict[str, str] = {"op6_top_k": vafile.ORACLE, "op9_chat": chat.ORACLE}
