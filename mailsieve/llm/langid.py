@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 DOCS_EACH = 200
 WORDS_EACH = 40
@@ -198,12 +199,13 @@ def train(docs: DataFrame, **bounds: int) -> tuple[list[str], Network]:
 
 
 def predict(docs: DataFrame, langs: list[str], net: Network) -> DataFrame:
-    """Adds ``lang_pred, score`` to ``doc_id, text``; only the text is looked at.
+    """Adds ``lang_pred, score`` to the rows; only the text is looked at, all columns stay
+    (but columns of these two names).
 
     ``und`` with score 0 where the text is null or has no letter, or nothing could be learned.
     Repeated rows get equal answers; an empty table gives no rows.  One pass, no shuffle.
     """
-    kind = dict(docs.dtypes)["doc_id"]
+    docs = docs.drop("lang_pred", "score")
     n = max(1, len(langs))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -233,10 +235,12 @@ def predict(docs: DataFrame, langs: list[str], net: Network) -> DataFrame:
                     best = int(np.argmax(np.round(share, 6)))
                     pred.append(langs[best])
                     score.append(min(1.0, round(float(share[best]), 6)))
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "text": batch.column("text"),
-                                              "lang_pred": pred, "score": score})
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns, pa.array(pred, pa.string()), pa.array(score, pa.float64())],
+                names=[*batch.schema.names, "lang_pred", "score"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, text string, lang_pred string, score double")
+    schema = StructType([*docs.schema.fields]).add("lang_pred", "string").add("score", "double")
+    return docs.mapInArrow(run, schema)
 
 
 def is_held_out(doc_id: Column) -> Column:

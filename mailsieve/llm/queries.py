@@ -58,7 +58,7 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.read(spark, sf_dir, "documents", "doc_id", "text", "lang")
     held_out = langid.is_held_out(F.col("doc_id"))
     langs, net = langid.train(docs.where(~held_out))
-    return langid.predict(docs, langs, net).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+    return langid.predict(docs.select("doc_id", "text"), langs, net).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
 QUERIES = {f.__name__: f for f in (op1_secrets, op2_bpe, op3_substrings, op4_suffixes, op5_fingerprints, op6_top_k, op7_packing, op8_near_duplicates, op9_chat, op10_language)}

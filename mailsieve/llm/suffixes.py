@@ -257,6 +257,15 @@ def dedup(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         remove, "doc_id long, n_bytes long, n_removed long, n_spans long, spans array<struct<start:long,end:long>>, kept binary")
 
 
+def texts(deduped: DataFrame) -> DataFrame:
+    """``doc_id, text``: the remaining bytes as text; bytes of a code point that was cut go."""
+    def run(batches):
+        for batch in batches:
+            kept = [b.decode("utf-8", "ignore") for b in batch.column("kept").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(kept, pa.string())], names=["doc_id", "text"])
+    return deduped.select("doc_id", "kept").mapInArrow(run, "doc_id long, text string")
+
+
 def _merged(spans: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     """(row, start, end) spans with those that touch or overlap made one."""
     out: list[tuple[int, int, int]] = []
