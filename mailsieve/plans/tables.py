@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import hashlib
-import os
 import re
 
 from pyspark.sql import DataFrame, SparkSession
@@ -25,14 +24,11 @@ def _registered(spark: SparkSession, sf_dir: str, name: str) -> str:
 
 
 def _spread(spark: SparkSession, path: str) -> DataFrame:
-    """A small single file is one row group and so one task; give its rows to all cores.
-
-    Tables of many files keep the partitions their files give them.
-    """
+    """A table whose scan gives fewer tasks than there are cores (one row group, say) is dealt
+    to all of them; tables of many files or row groups keep the partitions these give."""
     df = spark.read.parquet(path)
-    if os.path.isfile(path) and 1 << 20 < os.path.getsize(path) < 1 << 28:
-        return df.repartition(spark.sparkContext.defaultParallelism)
-    return df
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -53,6 +53,29 @@ def test_nested_message(spark, tmp_path):
         "d.eml": "empty message", "e.msg": "unsupported type"}
 
 
+def _parse_one(spark, tmp_path, lines):
+    (tmp_path / "one").mkdir()
+    (tmp_path / "one" / "m.eml").write_bytes("\r\n".join(lines).encode("latin-1"))
+    return mime.parse(mail_files.read_folder(spark, str(tmp_path / "one")))[0].first()
+
+
+def test_boundary_is_never_a_pattern(spark, tmp_path):
+    m = _parse_one(spark, tmp_path, [
+        "From: a@b.org", 'Content-Type: multipart/mixed; boundary="a\\E("', "", "pre",
+        "--a\\E(", "Content-Type: text/plain", "", "hello", "--a\\E(--", "after"])
+    assert m.body_plain == "hello"
+    assert m.mime_structure == "- multipart/mixed\n  - text/plain"
+
+
+def test_only_open_boundaries_cut(spark, tmp_path):
+    m = _parse_one(spark, tmp_path, [
+        "From: a@b.org", "Content-Type: multipart/mixed; boundary=out", "", "--out",
+        "Content-Type: text/plain", "", "it says boundary=foo here", "--foo", "hidden text", "-- ", "--foo--",
+        "the end", "--out", "Content-Type: text/html", "", "<p>x</p>", "--out-- \t", "epilogue"])
+    assert m.body_plain == "it says boundary=foo here\r\n--foo\r\nhidden text\r\n-- \r\n--foo--\r\nthe end"
+    assert m.body_html == "<p>x</p>"
+
+
 def test_arriving_files_are_analysed_once(spark, tmp_path):
     folder, out = _folder(tmp_path), str(tmp_path / "out")
     for _ in range(2):
