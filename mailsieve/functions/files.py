@@ -87,8 +87,7 @@ def zip_entries(content) -> Column:
     def entry(head):
         length = low_high(head, 23)
         return F.struct(
-            head.substr(F.lit(27), F.when((length > 0) & (length <= 512), length)
-                        .otherwise(0)).alias("raw_name"),
+            head.substr(F.lit(27), length).alias("raw_name"),
             length.alias("name_length"),
             low_high(head, 3).alias("flags"))
 
@@ -110,8 +109,7 @@ def utf16_marker(content, name: str) -> Column:
 
 def pdf_features(content) -> Column:
     latin = F.decode(col(content), "ISO-8859-1")
-    is_pdf = F.contains(F.substring(latin, 1, 1024), F.lit("%PDF-")) \
-        | F.startswith(latin, F.lit("%PDF"))
+    is_pdf = F.contains(latin, F.lit("%PDF-")) | F.startswith(latin, F.lit("%PDF"))
     found = [F.when(latin.rlike(p), F.lit(key)) for key, p in fv.PDF_FEATURES]
     return F.when(is_pdf, F.array_compact(F.array(*found))) \
         .otherwise(F.expr("cast(array() as array<string>)"))

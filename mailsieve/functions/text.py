@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from html.entities import name2codepoint
+from html.entities import html5
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -29,36 +29,48 @@ def strip_markup(html, replacement: str = " ") -> Column:
 
 
 def _named_entities() -> Column:
-    # The HTML 4 names, taken from the standard library's table.
-    pairs = "\u0002".join(f"{name}\u0001{code}" for name, code in sorted(name2codepoint.items()))
+    # All HTML 5 names, taken from the standard library's table.
+    pairs = "\u0002".join(f"{name}\u0001{value}" for name, value in sorted(html5.items()) if name.endswith(";"))
     return F.str_to_map(F.lit(pairs), F.lit("\u0002"), F.lit("\u0001"))
 
 
+def _open_entities() -> tuple[Column, str]:
+    # The names that also stand without a semicolon, and a pattern for the longest one.
+    names = sorted((n for n in html5 if not n.endswith(";")), key=lambda n: (-len(n), n))
+    pairs = "\u0002".join(f"{n}\u0001{html5[n]}" for n in names)
+    return F.str_to_map(F.lit(pairs), F.lit("\u0002"), F.lit("\u0001")), f"^&({'|'.join(names)})"
+
+
 def character(code: Column) -> Column:
     """One Unicode character from its code point."""
     return F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
 
 
 def decode_entities(value) -> Column:
+    """Character references of any length and all HTML 5 names, closed or not."""
     raw = text(value)
     pieces = F.regexp_extract_all(
-        raw, F.lit(r"&#[0-9]{1,7};?|&#[xX][0-9a-fA-F]{1,6};?|&[a-zA-Z][a-zA-Z0-9]*;|[^&]+|&"),
-        F.lit(0))
+        raw, F.lit(r"&#[0-9]+;?|&#[xX][0-9a-fA-F]+;?|&[a-zA-Z][a-zA-Z0-9]*;?|[^&]+|&"), F.lit(0))
     names = _named_entities()
+    open_names, longest = _open_entities()
+    # Windows-1252 stands in for the control codes from 128 to 159
+    western = F.lit("".join(bytes([c]).decode("cp1252", "ignore") or chr(c) for c in range(128, 160)))
 
     def decoded(piece: Column) -> Column:
-        digits = F.rtrim(F.substring(piece, 3, 12), F.lit(";"))
         is_hex = F.lower(F.substring(piece, 3, 1)) == "x"
-        code = F.when(is_hex, F.expr("null").cast("bigint")).otherwise(digits.cast("bigint"))
-        code = F.coalesce(code, F.conv(F.substring(digits, 2, 8), 16, 10).cast("bigint"))
-        named = F.try_element_at(names, F.regexp_extract(piece, r"^&([a-zA-Z][a-zA-Z0-9]*);$", 1))
+        digits = F.regexp_extract(piece, r"^&#[xX]?0*([0-9a-fA-F]*)", 1)
+        short = F.when(F.length(digits) <= 8, F.when(digits == "", F.lit("0")).otherwise(digits))
+        code = F.when(is_hex, F.conv(short, 16, 10)).otherwise(F.when(short.rlike("^[0-9]+$"), short)).cast("bigint")
         usable = (code > 0) & (code < 1114112) & ~code.between(55296, 57343)
-        return (
-            F.when(F.startswith(piece, F.lit("&#")) & (F.length(piece) > 2),
-                   F.when(usable, character(code)).otherwise(F.lit("\ufffd")))
-            .when(F.startswith(piece, F.lit("&")) & (F.length(piece) > 1),
-                  F.coalesce(character(named.cast("bigint")), piece))
-            .otherwise(piece))
+        numeric = F.when(code.between(128, 159), F.substring(western, (code - 127).cast("int"), F.lit(1))) \
+            .when(usable, character(code)).otherwise(F.lit("\ufffd"))
+        closed = F.try_element_at(names, F.substring(piece, F.lit(2), F.length(piece)))
+        name = F.regexp_extract(piece, longest, 1)
+        opened = F.when(name != "", F.concat(
+            F.try_element_at(open_names, name), F.substring(piece, F.length(name) + 2, F.length(piece))))
+        return (F.when(F.startswith(piece, F.lit("&#")) & (F.length(piece) > 2), numeric)
+                .when(F.startswith(piece, F.lit("&")) & (F.length(piece) > 1), F.coalesce(closed, opened, piece))
+                .otherwise(piece))
 
     return F.when(F.contains(raw, F.lit("&")),
                   F.array_join(F.transform(pieces, decoded), "")).otherwise(raw)

@@ -82,7 +82,7 @@ def link_totals(messages: DataFrame) -> DataFrame:
         "msg_id", F.size("links").alias("total_urls"),
         F.size(F.filter("links", lambda u: F.size(u["findings"]) > 0)).alias("suspicious_count"),
         F.transform(F.filter("links", lambda u: F.size(u["findings"]) > 0), lambda u: F.concat(
-            F.substring(u["raw"], 1, 40), F.lit(": "), F.array_join(u["findings"], "; ")))
+            u["raw"], F.lit(": "), F.array_join(u["findings"], "; ")))
         .alias("flags"))
 
 

@@ -130,7 +130,7 @@ def cross_site_redirects(spark, sf):
 @query("link_totals", "A5", ctes=LINK_CTES, oracle="""
     SELECT l.msg_id, CAST(count(f.raw) AS INT) AS total_urls,
            CAST(count(*) FILTER (len(f.findings) > 0) AS INT) AS suspicious_count,
-           coalesce(string_agg(concat(substr(f.raw, 1, 40), ': ', array_to_string(f.findings, '; ')), ' | '
+           coalesce(string_agg(concat(f.raw, ': ', array_to_string(f.findings, '; ')), ' | '
              ORDER BY f.place) FILTER (len(f.findings) > 0), '') AS flags
     FROM linked l LEFT JOIN link_findings f ON f.msg_id = l.msg_id GROUP BY l.msg_id""")
 def link_totals(spark, sf):
