@@ -25,9 +25,10 @@ _STEP = np.uint64((1 << 48) - 1)
 
 
 def with_units(docs: DataFrame) -> DataFrame:
-    """``unit, doc_id, text`` of rows that have an id."""
+    """``unit, doc_id, text`` of rows that have an id; a null text is empty."""
     return docs.where(F.col("doc_id").isNotNull()).select(
-        F.floor(F.col("doc_id") / UNIT).alias("unit"), "doc_id", "text")
+        F.floor(F.col("doc_id") / UNIT).alias("unit"), F.col("doc_id").cast("long").alias("doc_id"),
+        F.coalesce(F.col("text"), F.lit("")).alias("text"))
 
 
 def pack(values: np.ndarray) -> bytes:
