@@ -45,7 +45,49 @@ def streamed_sender_baseline(spark, sf):
                 "first_time_address", "first_time_domain")
 
 
-@query("request_rate_limit", "T3")
+def _bucket_sql(per: float) -> str:
+    """A walk of five tokens per ``per`` seconds, request by request."""
+    refilled = f"least(5.0::DOUBLE, w.tokens + (o.now - w.now) * 5 / {per}::DOUBLE)"
+    return f"""
+    WITH RECURSIVE o AS (
+      SELECT user_id, event_id, epoch_us(ts) / 1000000::DOUBLE AS now,
+             row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS place FROM events),
+    w AS (
+      SELECT user_id, event_id, now, place, 4.0::DOUBLE AS tokens, true AS allowed FROM o WHERE place = 1
+      UNION ALL
+      SELECT o.user_id, o.event_id, o.now, o.place,
+             CASE WHEN {refilled} >= 1 THEN {refilled} - 1 ELSE {refilled} END, {refilled} >= 1
+      FROM w JOIN o ON o.user_id = w.user_id AND o.place = w.place + 1)
+    SELECT user_id, event_id, allowed FROM w"""
+
+
+@query("request_rate_limit", "T3", oracle=_bucket_sql(21600.0))
 def request_rate_limit(spark, sf):
-    """Order-dependent bucket per user; checked against a plain walk in the tests."""
+    """Order-dependent bucket per user, five requests in six hours."""
     return ratelimit.limited(table(spark, sf, "events"), rate=5, per=60 * 60 * 6.0)
+
+
+@query("request_rate_limit_default", "T3", oracle=_bucket_sql(60.0))
+def request_rate_limit_default(spark, sf):
+    return ratelimit.limited(table(spark, sf, "events"))
+
+
+def _quarters(rows):
+    """Four stretches of time that hold all rows."""
+    first, last = (x.timestamp() for x in rows.agg(F.min("ts"), F.max("ts")).first())
+    cuts = [F.timestamp_seconds(F.lit(first + (last - first) * k / 4)) for k in (1, 2, 3)]
+    low, high = F.timestamp_seconds(F.lit(0)), F.timestamp_seconds(F.lit(last + 1))
+    return list(zip([low, *cuts], [*cuts, high]))
+
+
+@query("streamed_rate_limit", "T3", oracle=_bucket_sql(21600.0))
+def streamed_rate_limit(spark, sf):
+    """The events arrive in several files, in order of time from file to file but not within one."""
+    folder = _work_folder(spark, "limits-")
+    rows = table(spark, sf, "events").select("event_id", "user_id", "ts")
+    for low, high in _quarters(rows):
+        rows.where((F.col("ts") >= low) & (F.col("ts") < high)).sortWithinPartitions(F.xxhash64("event_id")) \
+            .coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    ratelimit.limit_stream(stream, folder, rate=5, per=60 * 60 * 6.0).awaitTermination()
+    return ratelimit.stream_decisions(spark, folder)

@@ -5,11 +5,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StreamingQuery
 
-OUTPUT = "user_id bigint, event_id bigint, allowed boolean"
+WALKED = "user_id bigint, event_id bigint, allowed boolean, tokens double, last timestamp"
 
 
 def bucket(rate: int, per: float):
@@ -25,32 +25,6 @@ def bucket(rate: int, per: float):
     return decide
 
 
-def limited_stream(requests: DataFrame, rate: int = 5, per: float = 60.0) -> DataFrame:
-    """Which requests (event_id, user_id, ts) a client's bucket lets through.
-
-    The state is two numbers per client.  Requests are read frame by frame in arrival
-    order, so a busy client never has to fit in memory.
-    """
-    decide = bucket(rate, per)
-
-    def update(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        tokens, last = state.get if state.exists else (float(rate), None)
-        last = None if last is None or pd.isna(last) else last
-        for frame in frames:
-            frame = frame.sort_values(["ts", "event_id"])
-            decisions = []
-            for now in frame["ts"].astype("datetime64[us]").astype("int64").to_numpy() / 1e6:
-                allowed, tokens = decide(now, tokens, last)
-                last = now
-                decisions.append(allowed)
-            yield pd.DataFrame({"user_id": frame["user_id"], "event_id": frame["event_id"],
-                                "allowed": decisions})
-        state.update((tokens, last))
-
-    return requests.select("user_id", "event_id", "ts").groupBy("user_id").applyInPandasWithState(
-        update, OUTPUT, "tokens double, last double", "append", GroupStateTimeout.NoTimeout)
-
-
 def idle_segments(requests: DataFrame, per: float) -> DataFrame:
     """Number the stretches of a client's requests that idle pauses of ``per`` separate.
 
@@ -70,29 +44,76 @@ def idle_segments(requests: DataFrame, per: float) -> DataFrame:
     return d.join(slots, ["user_id", "_slot"]).drop("_us", "_slot")
 
 
-def limited(requests: DataFrame, rate: int = 5, per: float = 60.0) -> DataFrame:
-    """Batch twin, over independent stretches of each client's requests.
+def _walked(requests: DataFrame, rate: int, per: float, states: DataFrame | None = None) -> DataFrame:
+    """Decisions, and after each stretch a row without event that holds the bucket.
 
-    Rows are sorted inside partitions of whole stretches and walked in batches with
-    one bucket at a time; nothing is held but the current bucket.
+    Rows are sorted inside partitions of whole stretches and walked in batches with one
+    bucket at a time; nothing is held but the current bucket.  ``states`` are such bucket rows of
+    an earlier walk; each stands before the requests that follow it.
     """
     decide = bucket(rate, per)
 
     def walk(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         current, tokens, last = None, float(rate), None
+
+        def closing():
+            return (current[0], None, None, tokens, pd.Timestamp(round(last * 1e6), unit="us"))
         for frame in frames:
+            out = []
             seconds = frame["ts"].astype("datetime64[us]").astype("int64").to_numpy() / 1e6
-            decisions = []
-            for key, now in zip(zip(frame["user_id"], frame["segment"]), seconds):
+            for key, event, held, now in zip(zip(frame["user_id"], frame["segment"]), frame["event_id"], frame["tokens"], seconds):
                 if key != current:
+                    if current is not None:
+                        out.append(closing())
                     current, tokens, last = key, float(rate), None
+                if not pd.isna(held):
+                    tokens, last = held, now
+                    continue
                 allowed, tokens = decide(now, tokens, last)
                 last = now
-                decisions.append(allowed)
-            yield pd.DataFrame({"user_id": frame["user_id"], "event_id": frame["event_id"],
-                                "allowed": decisions})
-
-    rows = idle_segments(requests.select("user_id", "event_id", "ts"), per)
-    return rows.repartition("user_id", "segment") \
-        .sortWithinPartitions("user_id", "segment", "ts", "event_id") \
-        .select("user_id", "segment", "event_id", "ts").mapInPandas(walk, OUTPUT)
+                out.append((key[0], event, allowed, None, None))
+            yield pd.DataFrame(out, columns=["user_id", "event_id", "allowed", "tokens", "last"]).astype(
+                {"user_id": "Int64", "event_id": "Int64", "allowed": "boolean", "tokens": "Float64", "last": "datetime64[us]"})
+        if current is not None:
+            yield pd.DataFrame([closing()], columns=["user_id", "event_id", "allowed", "tokens", "last"]).astype(
+                {"user_id": "Int64", "event_id": "Int64", "allowed": "boolean", "tokens": "Float64", "last": "datetime64[us]"})
+
+    rows = requests.select("user_id", "event_id", "ts", F.lit(None).cast("double").alias("tokens"))
+    if states is not None:
+        rows = rows.unionByName(states.select("user_id", F.lit(None).cast("bigint").alias("event_id"), F.col("last").alias("ts"), "tokens"))
+    return (idle_segments(rows, per).repartition("user_id", "segment")
+            .sortWithinPartitions("user_id", "segment", "ts", F.col("tokens").isNull(), "event_id")
+            .select("user_id", "segment", "event_id", "ts", "tokens").mapInPandas(walk, WALKED))
+
+
+def limited(requests: DataFrame, rate: int = 5, per: float = 60.0) -> DataFrame:
+    """Which requests (event_id, user_id, ts) a client's bucket lets through, in order of time
+    and event."""
+    return _walked(requests, rate, per).where(F.col("allowed").isNotNull()).select("user_id", "event_id", "allowed")
+
+
+def limit_stream(requests: DataFrame, folder: str, rate: int = 5, per: float = 60.0) -> StreamingQuery:
+    """Stream twin: decisions of each micro-batch and the buckets it leaves go to ``folder``.
+
+    A micro-batch is sorted by client and time before it is walked, whatever order its rows
+    arrive in, and starts from the buckets of the batch before; no client has to fit in memory.  The size
+    of a micro-batch is the source's (``maxFilesPerTrigger``).  A batch that is run again writes
+    the same folder again.
+    """
+    def each(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        states = None
+        if number > 0:
+            before = spark.read.schema(WALKED).parquet(f"{folder}/walked/batch={number - 1}").where(F.col("allowed").isNull())
+            states = before.groupBy("user_id").agg(F.max_by("tokens", "last").alias("tokens"), F.max("last").alias("last"))
+        walked = _walked(batch.select("user_id", "event_id", "ts"), rate, per, states)
+        walked.write.mode("overwrite").parquet(f"{folder}/walked/batch={number}")
+
+    return requests.writeStream.foreachBatch(each).option("checkpointLocation", f"{folder}/state") \
+        .trigger(availableNow=True).start()
+
+
+def stream_decisions(spark: SparkSession, folder: str) -> DataFrame:
+    """All decisions that ``limit_stream`` has written."""
+    return spark.read.schema(WALKED).option("recursiveFileLookup", "true").parquet(f"{folder}/walked") \
+        .where(F.col("allowed").isNotNull()).select("user_id", "event_id", "allowed")

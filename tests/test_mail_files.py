@@ -111,15 +111,16 @@ def test_expired_answers_count_as_absent(spark):
 
 
 def test_rate_limit_stream_equals_batch(spark, tmp_path):
-    d = spark.range(600).select(
-        F.col("id").alias("event_id"), (F.col("id") % 5).alias("user_id"),
-        F.timestamp_seconds(F.col("id") * 3).alias("ts"))
-    d.write.parquet(str(tmp_path / "in"))
-    stream = ratelimit.limited_stream(
-        spark.readStream.schema(d.schema).parquet(str(tmp_path / "in")), 5, 120.0)
-    stream.writeStream.format("memory").queryName("limited").option(
-        "checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True) \
-        .start().awaitTermination()
-    got = {r.event_id: r.allowed for r in spark.table("limited").collect()}
-    assert got == {r.event_id: r.allowed for r in ratelimit.limited(d, 5, 120.0).collect()}
-    assert not all(got.values())
+    """25 000 requests of one client out of order, over several frames and micro-batches."""
+    d = spark.range(25_600).select(
+        F.col("id").alias("event_id"), F.when(F.col("id") % 40 > 0, 1).otherwise(F.col("id") % 7).alias("user_id"),
+        F.timestamp_seconds(F.col("id") * F.lit(0.5)).alias("ts"))
+    for k in range(3):
+        d.where(F.floor(F.col("event_id") / 9000) == k).orderBy(F.xxhash64("event_id")).coalesce(1) \
+            .write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(d.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    ratelimit.limit_stream(stream, str(tmp_path / "out"), 50, 30.0).awaitTermination()
+    got = {r.event_id: r.allowed for r in ratelimit.stream_decisions(spark, str(tmp_path / "out")).collect()}
+    assert len(got) == 25_600
+    assert got == {r.event_id: r.allowed for r in ratelimit.limited(d, 50, 30.0).collect()}
+    assert 0 < sum(got.values()) < len(got)
