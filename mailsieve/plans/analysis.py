@@ -11,9 +11,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import identity as ident
 from ..functions.base import explode_rows
 from ..functions.scores import SIGNALS
-from ..operators import (attachments, auth, baseline, content, headers, html, links, reputation,
+from ..operators import (attachments, auth, baseline, content, dnsauth, headers, html, links, reputation,
                          routing, scoring)
 from ..operators.scale import durable
 
@@ -32,11 +33,12 @@ def inspected(messages: DataFrame, as_of) -> DataFrame:
     return scoring.with_trust(d)
 
 
-def message_signals(d: DataFrame) -> DataFrame:
+def message_signals(d: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """Narrow result of stage one: signal groups, domains and facts per message."""
     return d.select(
-        "msg_id", "user_id", "created_at", "from_addr", "trusted_sender",
-        "spf", "dkim", "dmarc", "hop_count",
+        "msg_id", "user_id", "created_at", "from_addr", "from_domain", "trusted_sender",
+        headers.diverted(d).alias("diverted"),
+        "spf", "dkim", "dmarc", "spf_details", "dkim_details", "dmarc_details", "hop_count",
         ((F.col("body_plain") != "") | (F.col("body_html") != "")).alias("has_body"),
         (F.col("body_html") != "").alias("has_html"),
         links.link_signals().alias("s_links"),
@@ -47,20 +49,42 @@ def message_signals(d: DataFrame) -> DataFrame:
         routing.routing_signals().alias("s_routing"),
         html.html_signals().alias("s_html"),
         attachments.attachment_signals().alias("s_attachment"),
-        reputation.message_domains(d).alias("domains"))
+        reputation.message_domains(d).alias("domains"), *keep)
+
+
+def with_verified_auth(narrow: DataFrame, checked: DataFrame) -> DataFrame:
+    """Header claims give way to the merged verdicts, and with them the authentication signals,
+    the contradictions and the trust in the sender."""
+    final = checked.select(
+        "msg_id", F.col("final_spf").alias("_spf"), F.col("final_dkim").alias("_dkim"),
+        F.col("final_dmarc").alias("_dmarc"), "auth_inconsistencies", "source", "note")
+    d = narrow.join(final, "msg_id", "left").withColumns({
+        m: F.coalesce(f"_{m}", m) for m in ("spf", "dkim", "dmarc")}).drop("_spf", "_dkim", "_dmarc")
+    return d.withColumns({
+        "s_auth": auth.auth_signals(),
+        "trusted_sender": F.coalesce(
+            ident.trusted_sender("from_domain", "spf", "dkim", "dmarc") & ~F.col("diverted"), F.lit(False))})
 
 
 def analyse(messages: DataFrame, as_of, whois: DataFrame | None = None,
-            history: DataFrame | None = None) -> DataFrame:
+            history: DataFrame | None = None, dns: DataFrame | None = None,
+            dkim_results: DataFrame | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
     """Verdict per message.
 
     ``whois``: registration snapshot.  ``history``: past mail (id, user_id, ts,
     from_addr), which must include the analysed messages themselves under their id.
+    ``dns`` and ``dkim_results``: record and signature snapshots; with both, SPF, DKIM and DMARC
+    are evaluated independently and merged with the header claims.  ``keep``: further columns of
+    the messages to carry into the verdict rows.
     """
-    narrow = message_signals(inspected(messages, as_of))
-    if whois is not None or history is not None:
+    narrow = message_signals(inspected(messages, as_of), keep)
+    verify = dns is not None and dkim_results is not None
+    if whois is not None or history is not None or verify:
         narrow = durable(narrow)
     d = narrow
+    if verify:
+        claims = auth.with_header_auth(headers.with_identity(messages))
+        d = with_verified_auth(d, dnsauth.verified_auth(claims, dns, dkim_results))
     factors = {}
     if whois is not None:
         asked = explode_rows(narrow, "domains", "msg_id", pos="pos")
@@ -82,4 +106,4 @@ def analyse(messages: DataFrame, as_of, whois: DataFrame | None = None,
         F.coalesce("age_signals", empty), "s_html", "s_attachment"))
     if history is not None:
         d = d.withColumn("signals", F.concat("signals", baseline.first_contact_signals()))
-    return scoring.verdicts(d, optional=factors)
+    return scoring.verdicts(d, optional=factors, keep=(*keep, "spf", "dkim", "dmarc"))

@@ -375,6 +375,25 @@ def verified_authentication(spark, sf):
         "dmarc_provenance", "source")
 
 
+_MERGED = {
+    "fin": "SELECT msg_id, f_spf AS spf, f_dkim AS dkim, f_dmarc AS dmarc FROM finals",
+    "fin_sig": o.auth_signals("fin"),
+}
+
+
+@query("verified_verdicts", "X1 P64 P71", ctes={**VERIFIED_CTES, **_MERGED}, oracle="""
+    SELECT f.msg_id, f.spf, f.dkim, f.dmarc,
+      coalesce((SELECT string_agg(s.indicator, ', ' ORDER BY s.indicator) FROM fin_sig s WHERE s.msg_id = f.msg_id), '') AS auth_indicators
+    FROM fin f""")
+def verified_verdicts(spark, sf):
+    """The whole analysis with independent authentication: merged verdicts and the signals they give."""
+    from .analysis import analyse
+    d = analyse(letters(spark, sf), AS_OF, dns=view(spark, sf, "dns"), dkim_results=view(spark, sf, "dkim_results"))
+    named = F.transform(F.filter("signals", lambda s: s["indicator"].isin(
+        [i for rules in fv.AUTH_WEIGHTS.values() for _, i in rules.values()])), lambda s: s["indicator"])
+    return d.select("msg_id", "spf", "dkim", "dmarc", F.array_join(F.array_sort(named), ", ").alias("auth_indicators"))
+
+
 @query("enforced_dmarc_failures", "P70", ctes=VERIFIED_CTES, oracle="""
     SELECT msg_id, policy FROM finals WHERE dmarc_i IN ('pass','fail','none','permerror') AND f_dmarc = 'fail'
       AND policy IN ('reject', 'quarantine')""")
