@@ -15,6 +15,8 @@ from .identity import address, domain_of, is_ipv4_host, plausible_host, registra
 
 URL_SHAPE = r"(?s)^(?:([a-zA-Z][a-zA-Z0-9+.-]*):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#.*)?$"
 ANCHOR_ELEMENT = r"""(?is)<a\s+[^>]*href=["']([^"']+)["'][^>]*>(.*?)</a>"""
+ANCHOR_END = "(?i)</a>"
+OPEN_ANCHOR = r"""(?is)<a\s+[^>]*href=["']([^"']+)["'][^>]*>(.*)$"""
 PLAIN_URL = r"""(?i)https?://[^\s<>"']+"""
 HOST_TOKEN = (r"\b([a-zA-Z0-9](?:[a-zA-Z0-9-]*[a-zA-Z0-9])?"
               r"(?:\.[a-zA-Z0-9](?:[a-zA-Z0-9-]*[a-zA-Z0-9])?)+)\b")

@@ -16,15 +16,20 @@ FAMILY = "link forensics"
 
 
 def _raw_links(body_html, body_plain) -> Column:
-    """Links of the HTML part, then of the plain part, as (raw, anchor)."""
-    def anchor_link(element):
+    """Links of the HTML part, then of the plain part, as (raw, anchor).
+
+    An element ends at the first closing tag after it opens, so the text is cut at the closing tags and
+    each piece is searched once; elements that never close cost no second look at what follows.
+    """
+    def anchor_link(piece):
         return F.struct(
-            strip(F.regexp_extract(element, urls.ANCHOR_ELEMENT, 1)).alias("raw"),
-            strip(F.regexp_replace(F.regexp_extract(element, urls.ANCHOR_ELEMENT, 2),
-                                    r"<[^>]+>", "")).alias("anchor"))
+            strip(F.regexp_extract(piece, urls.OPEN_ANCHOR, 1)).alias("raw"),
+            strip(F.regexp_replace(F.regexp_extract(piece, urls.OPEN_ANCHOR, 2), r"<[^>]+>", "")).alias("anchor"))
+
+    def closed(v):
+        return F.filter(F.slice(v["pieces"], F.lit(1), F.size(v["pieces"]) - 1), lambda p: p.rlike(urls.OPEN_ANCHOR))
 
-    in_html = F.transform(
-        F.regexp_extract_all(text(body_html), F.lit(urls.ANCHOR_ELEMENT), F.lit(0)), anchor_link)
+    in_html = F.transform(let(closed, pieces=F.split(text(body_html), urls.ANCHOR_END, -1)), anchor_link)
     in_text = F.transform(
         F.regexp_extract_all(text(body_plain), F.lit(urls.PLAIN_URL), F.lit(0)),
         lambda u: F.struct(strip(u).alias("raw"), F.lit("").alias("anchor")))
@@ -32,12 +37,18 @@ def _raw_links(body_html, body_plain) -> Column:
 
 
 def _first_of_each(links: Column) -> Column:
-    """Drop repeats of a raw URL and links that lead nowhere."""
+    """Drop repeats of a raw URL and links that lead nowhere; sorted, so repeats are neighbours."""
+    def ordered(v):
+        return F.array_sort(F.transform(v["links"], lambda u, i: F.struct(
+            u["raw"].alias("raw"), i.alias("at"), u["anchor"].alias("anchor"))))
+
     def distinct(v):
-        seen = F.transform(v["links"], lambda x: x["raw"])
-        return F.filter(v["links"], lambda u, i: (
-            (F.array_position(seen, u["raw"]) == i + 1) & ~urls.is_skipped(u["raw"])))
-    return let(distinct, links=links)
+        first = F.filter(v["sorted"], lambda u, i: (
+            (i == 0) | (F.get(v["sorted"], i - 1)["raw"] != u["raw"])) & ~urls.is_skipped(u["raw"]))
+        placed = F.array_sort(F.transform(first, lambda u: F.struct(
+            u["at"].alias("at"), u["raw"].alias("raw"), u["anchor"].alias("anchor"))))
+        return F.transform(placed, lambda u: F.struct(u["raw"].alias("raw"), u["anchor"].alias("anchor")))
+    return let(lambda v: let(distinct, sorted=ordered(v)), links=links)
 
 
 def with_links(messages: DataFrame) -> DataFrame:
