@@ -67,6 +67,17 @@ def test_boundary_is_never_a_pattern(spark, tmp_path):
     assert m.mime_structure == "- multipart/mixed\n  - text/plain"
 
 
+def test_declared_charsets(spark):
+    said = "Ünïcode “quotes” – Привет Ωμέγα ěščř €"
+    names = {"windows-1251": "cp1251", "CP1252": "cp1252", "koi8-r": "koi8_r", "iso-8859-7": "iso8859_7", "ISO_8859-2": "iso8859_2",
+             "iso-8859-15": "iso8859_15", "utf-16be": "utf-16-be", "utf-8": "utf-8", "latin1": "latin-1", "no-such-set": "utf-8"}
+    rows = [(n, bytearray(said.encode(c, "ignore")), said.encode(c, "ignore").decode(c)) for n, c in names.items()]
+    d = spark.createDataFrame(rows, "name string, raw binary, want string")
+    for r in d.select("name", "want", mime.decode_bytes(F.col("raw"), F.col("name")).alias("got")).collect():
+        assert r.got == r.want, r.name
+    assert "cp932" not in mime.UPPER_HALVES and "gbk" not in mime.UPPER_HALVES
+
+
 def test_only_open_boundaries_cut(spark, tmp_path):
     m = _parse_one(spark, tmp_path, [
         "From: a@b.org", "Content-Type: multipart/mixed; boundary=out", "", "--out",
