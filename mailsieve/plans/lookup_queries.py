@@ -413,6 +413,22 @@ def lookup_quota_pressure(spark, sf):
     return activity.quota_pressure(table(spark, sf, "events"), window_seconds=86400, quota=3)
 
 
+@query("lookup_quota_pressure_default", "W13", oracle="""
+    SELECT DISTINCT user_id, ts, n AS in_window, n > 30 AS over_quota FROM (
+      SELECT user_id, ts, count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 60 SECOND PRECEDING AND CURRENT ROW) AS n
+      FROM events) z""")
+def lookup_quota_pressure_default(spark, sf):
+    return activity.quota_pressure(table(spark, sf, "events"), window_seconds=60, quota=30)
+
+
+@query("failure_streaks_default", "W14", oracle="""
+    SELECT user_id, count(*) AS failures, min(ts) AS first_ts, max(ts) AS last_ts FROM (
+      SELECT *, sum(CASE WHEN event_type = 'error' THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS grp FROM events) z
+    WHERE event_type = 'error' GROUP BY user_id, grp HAVING count(*) >= 3""")
+def failure_streaks_default(spark, sf):
+    return activity.failure_streaks(table(spark, sf, "events"), minimum=3)
+
+
 @query("failure_streaks", "W14", oracle="""
     SELECT user_id, count(*) AS failures, min(ts) AS first_ts, max(ts) AS last_ts FROM (
       SELECT *, sum(CASE WHEN event_type = 'error' THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS grp FROM events) z

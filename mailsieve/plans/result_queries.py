@@ -292,6 +292,16 @@ def top_signals_per_case(spark, sf):
         "msg_id", (F.col("p") + 1).alias("place"), "indicator", "weight")
 
 
+@query("top_eight_signals", "O6", ctes=_MAIL_SCORED, oracle="""
+    SELECT msg_id, rn AS place, indicator, CAST(weight AS INT) AS weight FROM (
+      SELECT *, row_number() OVER (PARTITION BY msg_id ORDER BY weight DESC, seq) AS rn FROM sig_capped) z
+    WHERE rn <= 8 AND weight > 0""")
+def top_eight_signals(spark, sf):
+    d = scored_mail(spark, sf).select("msg_id", evaluation.top_signals(8).alias("s"))
+    return explode_rows(d, "s", "msg_id", pos="p").select(
+        "msg_id", (F.col("p") + 1).alias("place"), "indicator", "weight")
+
+
 # --- stored results ------------------------------------------------------------
 
 REC = {"cur": """SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY version DESC) AS rn
