@@ -257,6 +257,47 @@ def recommended_actions(spark, sf):
         "risk_level", urls, F.coalesce("risky", F.lit(False)))).alias("steps"))
 
 
+@query("recommended_steps", "P68", ctes={**_MAIL_SCORED, **ATTACH_CTES}, oracle="""
+    SELECT v.msg_id, CASE WHEN v.risk_level IN ('High', 'Critical') THEN concat(
+        'contain: remove the message from mailboxes | block: sender at the gateway',
+        CASE WHEN v.msg_id % 3 = 0 THEN ' | network: block the linked hosts' ELSE '' END,
+        CASE WHEN n.msg_id IS NOT NULL THEN ' | endpoint: block the attachment hashes' ELSE '' END,
+        ' | accounts: reset credentials of readers') ELSE 'none required' END AS steps
+    FROM msg_verdicts v LEFT JOIN (SELECT DISTINCT msg_id FROM named WHERE is_executable OR is_double_extension) n
+      ON n.msg_id = v.msg_id""")
+def recommended_steps(spark, sf):
+    from .body_queries import attached
+    risky = attached(spark, sf).select("msg_id", F.exists(
+        "attachments", lambda a: a["is_executable"] | a["is_double_extension"]).alias("risky"))
+    d = scored_mail(spark, sf).join(risky, "msg_id", "left")
+    return d.select("msg_id", F.array_join(report.recommendations(
+        "risk_level", F.when(F.col("msg_id") % 3 == 0, 1).otherwise(0), F.coalesce("risky", F.lit(False))), " | ").alias("steps"))
+
+
+@query("evidence_with_signals", "U2", ctes=FULL_CTES, oracle="""
+    SELECT msg_id, 'signal' AS category, indicator AS title FROM sig_capped
+    UNION ALL SELECT msg_id, 'header', title FROM header_hits
+    UNION ALL SELECT h.msg_id, 'html', w.indicator FROM h_html_ranked h JOIN h_html_weights w
+      ON w.category = h.category AND w.severity = h.severity
+    UNION ALL SELECT msg_id, 'url', host FROM k_link_findings WHERE len(findings) > 0
+    UNION ALL SELECT DISTINCT msg_id, 'attachment', filename FROM a_reasons""")
+def evidence_with_signals(spark, sf):
+    """The whole log, the scored signals included."""
+    scored = full_analysis(spark, sf).select("msg_id", "signals")
+    return report.evidence_log(inspected(letters(spark, sf), AS_OF).join(scored, "msg_id")) \
+        .select("msg_id", "category", "title")
+
+
+@query("batch_summary", "S12", ctes=FULL_CTES, oracle="""
+    SELECT v.msg_id, l.subject, l.from_raw, v.score, v.risk_level FROM msg_verdicts v JOIN letters l ON l.msg_id = v.msg_id""")
+def batch_summary(spark, sf):
+    """What a batch report lists, carried through the analysis."""
+    log = view(spark, sf, "letters").select(
+        F.col("msg_id").alias("id"), "user_id", F.col("created_at").alias("ts"), _address("from_raw").alias("from_addr"))
+    d = analyse(letters(spark, sf), AS_OF, whois=view(spark, sf, "whois"), history=log, keep=("subject", "from_raw"))
+    return d.select("msg_id", "subject", "from_raw", "score", "risk_level")
+
+
 # --- accuracy ------------------------------------------------------------------
 
 _CASES = """SELECT v.msg_id, v.risk_level IN ('High', 'Critical') AS flagged, v.msg_id % 16 BETWEEN 9 AND 14 AS malicious,
@@ -282,6 +323,18 @@ def confusion_matrix(spark, sf):
     return evaluation.accuracy(evaluation.confusion(labelled(spark, sf)))
 
 
+@query("toxic_confusion_matrix", "A9 A10", ctes={**_MAIL_SCORED, "cases": """SELECT v.msg_id,
+    v.risk_level IN ('High', 'Critical') AS flagged, l.toxic = 1 AS malicious FROM msg_verdicts v JOIN labels l ON l.doc_id = v.msg_id
+    WHERE l.toxic IS NOT NULL"""}, oracle="""
+    SELECT count(*) FILTER (flagged AND malicious) AS tp, count(*) FILTER (flagged AND NOT malicious) AS fp,
+           count(*) FILTER (NOT flagged AND NOT malicious) AS tn, count(*) FILTER (NOT flagged AND malicious) AS fn FROM cases""")
+def toxic_confusion_matrix(spark, sf):
+    """The labels' own judgement as truth."""
+    truth = table(spark, sf, "labels").where("toxic is not null").select(
+        F.col("doc_id").alias("msg_id"), (F.col("toxic") == 1).alias("malicious"))
+    return evaluation.confusion(scored_mail(spark, sf).join(truth, "msg_id")).select("tp", "fp", "tn", "fn")
+
+
 @query("top_signals_per_case", "O6", ctes=_MAIL_SCORED, oracle="""
     SELECT msg_id, rn AS place, indicator, CAST(weight AS INT) AS weight FROM (
       SELECT *, row_number() OVER (PARTITION BY msg_id ORDER BY weight DESC, seq) AS rn FROM sig_capped) z
