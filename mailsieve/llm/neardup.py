@@ -236,7 +236,8 @@ def near_duplicates(docs: DataFrame, percent: int = SIMILARITY, trees: int = TRE
     sizes = loose.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
     members = loose.join(sizes, "component").select(F.col("node").alias("doc_id"), "component", "size")
     held = texts.dropDuplicates(["doc_id"]) if docs_repeat(made) else texts
-    met = _blocks(held.join(members, "doc_id"), F.col("component"), BLOCK)
+    # members grow with the corpus: a sorted join at every size, never a broadcast of them
+    met = _blocks(held.join(members.hint("merge"), "doc_id"), F.col("component"), BLOCK)
     links = met.groupBy("component", "pair").applyInArrow(_confirm(percent), "a long, b long")
     final = components(links)
     placed = made.join(alike, own, "left").join(final, "node", "left")
