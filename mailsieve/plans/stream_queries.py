@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
+import uuid
 
 from pyspark.sql import functions as F
 
@@ -19,13 +18,18 @@ from .tables import table, view
 def _work_folder(spark, name: str) -> str:
     """A fresh folder under the session's shared checkpoint folder."""
     ensure_checkpoint_dir(spark)
-    base = spark.sparkContext.getCheckpointDir()
-    if base.startswith("file:") and spark.sparkContext.master.startswith("local"):
-        base = base[len("file:"):]
-        os.makedirs(base, exist_ok=True)
-        return tempfile.mkdtemp(prefix=name, dir=base)
-    run = spark.range(1).select(F.expr("uuid()")).first()[0]
-    return f"{base}/{name}{run}"
+    return f"{spark.sparkContext.getCheckpointDir()}/{name}{uuid.uuid4().hex}"
+
+
+def _arrivals(spark, rows, folder: str, parts: int = 4):
+    """Rows as a stream of one file after another, by time; within a file in no order."""
+    first, last = (x.timestamp() for x in rows.agg(F.min("ts"), F.max("ts")).first())
+    cuts = [F.timestamp_seconds(F.lit(first + (last - first) * k / parts)) for k in range(1, parts)]
+    low, high = F.timestamp_seconds(F.lit(0)), F.timestamp_seconds(F.lit(last + 1))
+    for begin, end in zip([low, *cuts], [*cuts, high]):
+        rows.where((F.col("ts") >= begin) & (F.col("ts") < end)).sortWithinPartitions(F.xxhash64(*rows.columns)) \
+            .coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
 
 
 def replay(spark, rows, name: str, transform):
@@ -41,9 +45,12 @@ def replay(spark, rows, name: str, transform):
 
 @query("streamed_sender_baseline", "T2", ctes=baseline_sql(500), oracle="SELECT * FROM contacts")
 def streamed_sender_baseline(spark, sf):
-    return replay(spark, view(spark, sf, "mail_log"), "baseline-", live_baseline.baseline_stream) \
-        .select("id", "user_id", "prior_messages", "address_count", "domain_count", "available",
-                "first_time_address", "first_time_domain")
+    folder = _work_folder(spark, "baseline-")
+    log = view(spark, sf, "mail_log").select("id", "user_id", F.col("ts").cast("timestamp").alias("ts"), "from_addr")
+    live_baseline.run_baseline_stream(_arrivals(spark, log, folder), folder).awaitTermination()
+    return live_baseline.streamed_facts(spark, folder).select(
+        "id", "user_id", "prior_messages", "address_count", "domain_count", "available",
+        "first_time_address", "first_time_domain")
 
 
 def _bucket_sql(per: float) -> str:
@@ -73,24 +80,12 @@ def request_rate_limit_default(spark, sf):
     return ratelimit.limited(table(spark, sf, "events"))
 
 
-def _quarters(rows):
-    """Four stretches of time that hold all rows."""
-    first, last = (x.timestamp() for x in rows.agg(F.min("ts"), F.max("ts")).first())
-    cuts = [F.timestamp_seconds(F.lit(first + (last - first) * k / 4)) for k in (1, 2, 3)]
-    low, high = F.timestamp_seconds(F.lit(0)), F.timestamp_seconds(F.lit(last + 1))
-    return list(zip([low, *cuts], [*cuts, high]))
-
-
 @query("streamed_rate_limit", "T3", oracle=_bucket_sql(21600.0))
 def streamed_rate_limit(spark, sf):
     """The events arrive in several files, in order of time from file to file but not within one."""
     folder = _work_folder(spark, "limits-")
     rows = table(spark, sf, "events").select("event_id", "user_id", "ts")
-    for low, high in _quarters(rows):
-        rows.where((F.col("ts") >= low) & (F.col("ts") < high)).sortWithinPartitions(F.xxhash64("event_id")) \
-            .coalesce(1).write.mode("append").parquet(f"{folder}/in")
-    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
-    ratelimit.limit_stream(stream, folder, rate=5, per=60 * 60 * 6.0).awaitTermination()
+    ratelimit.limit_stream(_arrivals(spark, rows, folder), folder, rate=5, per=60 * 60 * 6.0).awaitTermination()
     return ratelimit.stream_decisions(spark, folder)
 
 

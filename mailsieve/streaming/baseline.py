@@ -2,55 +2,46 @@
 
 from __future__ import annotations
 
-import json
-from collections import Counter, deque
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StreamingQuery
 
 from ..functions import fixed_values as fv
-from ..functions.identity import registrable
+from ..operators.baseline import sender_baseline
 
-OUTPUT = ("user_id bigint, id bigint, prior_messages bigint, address_count bigint, "
-          "domain_count bigint, available boolean, first_time_address boolean, "
-          "first_time_domain boolean")
+KEPT = "id bigint, user_id bigint, ts timestamp, from_addr string"
 
 
-def baseline_stream(log: DataFrame, limit: int = fv.BASELINE_LIMIT,
-                    minimum: int = fv.BASELINE_MINIMUM) -> DataFrame:
-    """First-contact facts of each arriving message.
+def run_baseline_stream(log: DataFrame, folder: str, limit: int = fv.BASELINE_LIMIT,
+                        minimum: int = fv.BASELINE_MINIMUM) -> StreamingQuery:
+    """First-contact facts of each arriving message go to ``folder``.
 
-    State per recipient is the last ``limit`` (address, organisation) pairs, so it is
-    bounded for any mailbox; the rows of one call are those of one micro-batch, which the
-    source's trigger bounds.  They are taken in time order; a message that arrives after
-    later ones is compared with what had arrived before it.
+    A micro-batch joins the last ``limit`` messages of each recipient that earlier ones left, and
+    the batch operator takes both: recipients are cut into blocks, so a mailbox of any size is many
+    small groups.  State is a table of at most ``limit`` rows per recipient.  The size of a
+    micro-batch is the source's (``maxFilesPerTrigger``); one that is run again writes the same
+    folders again.  A message that arrives after later ones is compared with those before it in time.
     """
-    def update(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        seen = deque(json.loads(state.get[0]) if state.exists else [])
-        addresses = Counter(a for a, _ in seen)
-        orgs = Counter(d for _, d in seen)
-        out = []
-        batch = pd.concat(list(frames)).sort_values(["ts", "id"])
-        for row in batch.itertuples(index=False):
-            prior, same_address, same_org = len(seen), addresses[row.from_addr], orgs[row.from_org]
-            ready = prior >= minimum
-            out.append((key[0], row.id, prior, same_address, same_org, ready,
-                        ready and same_address == 0, ready and same_org == 0))
-            seen.append([row.from_addr, row.from_org])
-            addresses[row.from_addr] += 1
-            orgs[row.from_org] += 1
-            if len(seen) > limit:
-                old_address, old_org = seen.popleft()
-                addresses[old_address] -= 1
-                orgs[old_org] -= 1
-        state.update((json.dumps(list(seen)),))
-        yield pd.DataFrame(out, columns=[c.split()[0] for c in OUTPUT.split(", ")])
-
-    rows = log.where(F.col("from_addr").isNotNull()).select(
-        "user_id", "id", "ts", "from_addr",
-        registrable(F.substring_index("from_addr", "@", -1)).alias("from_org"))
-    return rows.groupBy("user_id").applyInPandasWithState(
-        update, OUTPUT, "seen string", "append", GroupStateTimeout.NoTimeout)
+    def each(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        new = batch.where(F.col("from_addr").isNotNull()).select("id", "user_id", "ts", "from_addr")
+        both = new.withColumn("_new", F.lit(True))
+        if number > 0:
+            kept = spark.read.schema(KEPT).parquet(f"{folder}/kept/batch={number - 1}")
+            both = both.unionByName(kept.withColumn("_new", F.lit(False)))
+        facts = sender_baseline(both, limit, minimum)
+        facts.join(new.select("id", "user_id"), ["id", "user_id"], "left_semi") \
+            .write.mode("overwrite").parquet(f"{folder}/facts/batch={number}")
+        latest = Window.partitionBy("user_id").orderBy(F.desc("ts"), F.desc("id"))
+        both.withColumn("_n", F.row_number().over(latest)).where(F.col("_n") <= limit) \
+            .select("id", "user_id", "ts", "from_addr") \
+            .write.mode("overwrite").parquet(f"{folder}/kept/batch={number}")
+
+    return log.writeStream.foreachBatch(each).option("checkpointLocation", f"{folder}/state") \
+        .trigger(availableNow=True).start()
+
+
+def streamed_facts(spark: SparkSession, folder: str) -> DataFrame:
+    """All facts that the stream has written."""
+    first = spark.read.parquet(f"{folder}/facts/batch=0")
+    return spark.read.schema(first.schema).option("recursiveFileLookup", "true").parquet(f"{folder}/facts")
