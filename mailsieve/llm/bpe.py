@@ -24,8 +24,10 @@ from collections.abc import Iterable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import remembered
+
 #: Words kept between batches of a worker; past it the memory is emptied and filled anew.
-KEPT_WORDS = 1_200_000
+KEPT_WORDS = 800_000
 #: Characters of text taken together; bounds the words in memory, not what is read.
 BATCH_CHARS = 4_000_000
 _NEVER = 1 << 40
@@ -256,12 +258,11 @@ def _back() -> dict[str, int]:
     return {n: b for b, n in enumerate(_byte_names())}
 
 
-@functools.cache
 def encoder(path: str) -> TrieEncoder:
     """One encoder for each worker process; its word memory is kept between tasks."""
     if sys.byteorder != "little":
         raise RuntimeError("token ids are laid out for little-endian machines")
-    return TrieEncoder(path)
+    return remembered(("bpe", path), lambda: TrieEncoder(path))
 
 
 def default_vocabulary() -> str:

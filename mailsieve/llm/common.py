@@ -44,6 +44,18 @@ def stage_table(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+_held: dict = {}
+
+
+def remembered(owner, make):
+    """What a worker process remembers between tasks for one operator; another operator's memory is
+    let go first, so a worker that runs several stages holds one at a time."""
+    if owner not in _held:
+        _held.clear()
+        _held[owner] = make()
+    return _held[owner]
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Finalise 64-bit hashes, so that every bit depends on all."""
     x = x ^ (x >> np.uint64(30))

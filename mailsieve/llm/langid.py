@@ -24,6 +24,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from .common import remembered
+
 DOCS_EACH = 200
 WORDS_EACH = 40
 LANGUAGES = 64
@@ -31,7 +33,7 @@ LONGEST = 30
 HIDDEN = 16
 EPOCHS = 3
 #: Words remembered by a worker; past it the memory is emptied and filled anew.
-KEPT_WORDS = 800_000
+KEPT_WORDS = 400_000
 UNKNOWN = "und"
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
@@ -209,13 +211,13 @@ def predict(docs: DataFrame, langs: list[str], net: Network) -> DataFrame:
     n = max(1, len(langs))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        place: dict[bytes, int] = {}
+        place: dict[bytes, int] = remembered(object(), dict)
         worth = np.zeros((1024, n), np.float32)
         for batch in batches:
-            texts = batch.column("text").to_pylist()
             pred, score = [], []
-            for at in range(0, len(texts), 500):
-                some = [words_of(t) if t else [] for t in texts[at:at + 500]]
+            for at in range(0, batch.num_rows, 500):
+                texts = batch.column("text").slice(at, 500).to_pylist()
+                some = [words_of(t) if t else [] for t in texts]
                 if len(place) > KEPT_WORDS:
                     place.clear()
                 new = list(set().union(*some).difference(place))
@@ -225,7 +227,7 @@ def predict(docs: DataFrame, langs: list[str], net: Network) -> DataFrame:
                         worth = np.concatenate([worth[:start], np.zeros((start + 2 * len(new), n), np.float32)])
                     worth[start:start + len(new)] = net.worth(new)
                     place.update(zip(new, range(start, start + len(new))))
-                for text, words in zip(texts[at:at + 500], some):
+                for text, words in zip(texts, some):
                     if not words or not langs or not has_letter(text):
                         pred.append(UNKNOWN)
                         score.append(0.0)

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix, stage_table
+from .common import mix, remembered, stage_table
 from .components import components
 from .repeats import chunks
 from .substrings import window_hashes, words
@@ -77,16 +77,19 @@ def sketch_of(shingles: np.ndarray) -> np.ndarray:
 def sketches(docs: DataFrame) -> DataFrame:
     """``doc_id, n_shingles, set_a, set_b, sketch``: size, identity and minwise tokens of each set."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sizes, first, second, tokens = [], [], [], []
-            for s in shingle_sets(batch.column("text").to_pylist()):
-                sizes.append(len(s))
-                first.append(int(mix(s).sum(dtype=np.uint64).view(np.int64)))
-                second.append(int(np.bitwise_xor.reduce(mix(s + np.uint64(1)), initial=np.uint64(len(s))).view(np.int64)))
-                tokens.append(sketch_of(s).astype("<u4").tobytes())
-            yield pa.RecordBatch.from_pydict({
-                "doc_id": batch.column("doc_id"), "n_shingles": pa.array(sizes, pa.int64()), "set_a": pa.array(first, pa.int64()),
-                "set_b": pa.array(second, pa.int64()), "sketch": pa.array(tokens, pa.binary())})
+        remembered("neardup", dict)
+        for whole in batches:
+            for at in range(0, whole.num_rows, 500):        # few texts at a time are Python objects
+                batch = whole.slice(at, 500)
+                sizes, first, second, tokens = [], [], [], []
+                for s in shingle_sets(batch.column("text").to_pylist()):
+                    sizes.append(len(s))
+                    first.append(int(mix(s).sum(dtype=np.uint64).view(np.int64)))
+                    second.append(int(np.bitwise_xor.reduce(mix(s + np.uint64(1)), initial=np.uint64(len(s))).view(np.int64)))
+                    tokens.append(sketch_of(s).astype("<u4").tobytes())
+                yield pa.RecordBatch.from_pydict({
+                    "doc_id": batch.column("doc_id"), "n_shingles": pa.array(sizes, pa.int64()),
+                    "set_a": pa.array(first, pa.int64()), "set_b": pa.array(second, pa.int64()), "sketch": pa.array(tokens, pa.binary())})
 
     return docs.where(F.col("doc_id").isNotNull()).select("doc_id", "text").mapInArrow(
         run, "doc_id long, n_shingles long, set_a long, set_b long, sketch binary")

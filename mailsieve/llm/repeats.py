@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions
+from .common import partitions, remembered
 
 #: Document ids of a unit; a unit is one group in a task.
 UNIT = 1024
@@ -80,6 +80,7 @@ def shared(units: DataFrame, hashes: Callable[[list[bytes]], np.ndarray], first_
     sent = pa.schema([("bucket", pa.int32()), ("unit", pa.int64()), ("raw", pa.binary())])
 
     def send(group: pa.Table) -> pa.Table:
+        remembered("repeats", dict)
         values = hashes(sorted_docs(group)[1])
         parts = np.split(values, np.searchsorted(values, borders))
         held = [(b, pack(p)) for b, p in enumerate(parts) if len(p)]
