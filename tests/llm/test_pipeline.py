@@ -58,5 +58,18 @@ def test_run_over_written_documents(spark, tmp_path):
     assert {"doc_id", "sequence_id", "offset", "length"} <= set(out.columns) and out.count() > 20
 
 
+def test_near_copies_from_80_percent_go(spark):
+    rows = []
+    for n, changed in enumerate([(20, 70, 120, 170, 220), (10, 60, 110, 160, 210), (40, 80, 120, 160, 200, 240), tuple(range(10, 250, 30))]):
+        words = [f"w{n}x{i}" for i in range(250)]
+        copy = [f"changed{w}" if i in changed else w for i, w in enumerate(words)]
+        rows += [(2 * n, " ".join(words)), (2 * n + 1, " ".join(copy))]
+    docs = spark.createDataFrame([(*r, "en", "s", 1) for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    want = brute_force(rows, 80)
+    assert want != brute_force(rows, 85)
+    left = {r.doc_id for r in cp.near_duplicates(spark, docs, "").collect()}
+    assert left == {i for i, _ in rows if want[i][1] == i} == {0, 2, 4, 5, 6, 7}
+
+
 def test_every_operator_is_registered():
     assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11))
