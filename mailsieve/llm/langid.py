@@ -200,11 +200,12 @@ def train(docs: DataFrame, **bounds: int) -> tuple[list[str], Network]:
     return langs, net
 
 
-def predict(docs: DataFrame, langs: list[str], net: Network) -> DataFrame:
+def predict(docs: DataFrame, langs: list[str], net: Network, lettered: str | None = None) -> DataFrame:
     """Adds ``lang_pred, score`` to the rows; only the text is looked at, all columns stay
     (but columns of these two names).
 
-    ``und`` with score 0 where the text is null or has no letter, or nothing could be learned.
+    ``und`` with score 0 where the text is null or has no letter, or nothing could be learned; a column
+    named ``lettered``, if one is asked for, says whether the text has a letter.
     Repeated rows get equal answers; an empty table gives no rows.  One pass, no shuffle.
     """
     docs = docs.drop("lang_pred", "score")
@@ -214,7 +215,7 @@ def predict(docs: DataFrame, langs: list[str], net: Network) -> DataFrame:
         place: dict[bytes, int] = remembered(object(), dict)
         worth = np.zeros((1024, n), np.float32)
         for batch in batches:
-            pred, score = [], []
+            pred, score, letters = [], [], []
             for at in range(0, batch.num_rows, 500):
                 texts = batch.column("text").slice(at, 500).to_pylist()
                 some = [words_of(t) if t else [] for t in texts]
@@ -228,7 +229,8 @@ def predict(docs: DataFrame, langs: list[str], net: Network) -> DataFrame:
                     worth[start:start + len(new)] = net.worth(new)
                     place.update(zip(new, range(start, start + len(new))))
                 for text, words in zip(texts, some):
-                    if not words or not langs or not has_letter(text):
+                    letters.append(bool(words) and has_letter(text))
+                    if not letters[-1] or not langs:
                         pred.append(UNKNOWN)
                         score.append(0.0)
                         continue
@@ -238,10 +240,13 @@ def predict(docs: DataFrame, langs: list[str], net: Network) -> DataFrame:
                     pred.append(langs[best])
                     score.append(min(1.0, round(float(share[best]), 6)))
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(pred, pa.string()), pa.array(score, pa.float64())],
-                names=[*batch.schema.names, "lang_pred", "score"])
+                [*batch.columns, pa.array(pred, pa.string()), pa.array(score, pa.float64()),
+                 *([pa.array(letters, pa.bool_())] if lettered else [])],
+                names=[*batch.schema.names, "lang_pred", "score", *([lettered] if lettered else [])])
 
     schema = StructType([*docs.schema.fields]).add("lang_pred", "string").add("score", "double")
+    if lettered:
+        schema = schema.add(lettered, "boolean")
     return docs.mapInArrow(run, schema)
 
 

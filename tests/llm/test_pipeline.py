@@ -71,5 +71,25 @@ def test_near_copies_from_80_percent_go(spark):
     assert left == {i for i, _ in rows if want[i][1] == i} == {0, 2, 4, 5, 6, 7}
 
 
+def test_language_stage_without_usable_labels(spark):
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    rows = [(i, t, None, "s", 1) for i, t in corpus() if len(t or "") < 10_000] + [(None, "a row without id", None, None, None)]
+    docs = spark.createDataFrame(rows, schema)
+    lettered = sorted((t for _, t, *_ in rows if t and any(map(str.isalpha, t))))
+    held_out = docs.withColumn("lang", F.when(cp.langid.is_held_out(F.col("doc_id")), "en"))
+    assert held_out.where("lang is not null").count() > 0
+    for some in docs, held_out:
+        got = cp.language(spark, some, "").collect()
+        assert sorted(r.text for r in got) == lettered
+        assert {r.doc_id for r in got if r.lang} == {r.doc_id for r in some.where("lang is not null").collect() if r.text in lettered}
+    assert cp.language(spark, docs.limit(0), "").count() == 0
+
+
+def test_language_stage_keeps_a_language_called_und(spark):
+    rows = [(i, "ka ta na pa ma" if i % 2 else "shi ri mi ki", "und" if i % 2 else "aa", "s", 1) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    assert cp.language(spark, docs, "").count() == 60
+
+
 def test_every_operator_is_registered():
     assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11))
