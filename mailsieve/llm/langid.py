@@ -8,8 +8,8 @@ a word is labelled once and remembered by its worker; what it is worth does not
 where it stands.
 
 Training is backpropagation through time in numpy, on the driver, over a bounded sample of labelled
-rows: at most ``DOCS_EACH`` documents of each language (of the ``LANGUAGES`` most frequent) and
-``WORDS_EACH`` words of each document.
+rows: about ``DOCS_ALL`` documents, shared evenly among all languages (``DOCS_EACH`` at most and ``DOCS_LEAST``
+at least of each), and ``WORDS_EACH`` words of each document.
 """
 
 from __future__ import annotations
@@ -27,10 +27,13 @@ from pyspark.sql.types import StructType
 from .common import remembered
 
 DOCS_EACH = 200
+DOCS_ALL = 12_800
+DOCS_LEAST = 8
 WORDS_EACH = 40
-LANGUAGES = 64
 LONGEST = 30
 HIDDEN = 16
+#: Languages up to which groups and memories have their full size; with more they shrink in proportion.
+FULL = 64
 EPOCHS = 3
 #: Words remembered by a worker; past it the memory is emptied and filled anew.
 KEPT_WORDS = 400_000
@@ -70,6 +73,11 @@ def _by_length(words: list[bytes], most: int) -> Iterator[np.ndarray]:
             yield group[at:at + most]
 
 
+def shrunk(most: int, labels: int) -> int:
+    """``most`` rows of up to ``FULL`` labels, or so many of more labels as take the same memory."""
+    return max(1, most * FULL // max(FULL, labels))
+
+
 class Network:
     """Parameters by direction: ``x`` (byte to gates), ``u`` (state to gates), ``b``; and the labels' ``w``, ``c``."""
 
@@ -157,18 +165,19 @@ class Network:
     def worth(self, words: list[bytes]) -> np.ndarray:
         """Sum over the positions of each word of the language probabilities."""
         out = np.zeros((len(words), len(self.p["c"])), np.float32)
-        for group in _by_length(words, 4096):
+        for group in _by_length(words, shrunk(4096, out.shape[1])):
             out[group] = self.labels(_table([words[i] for i in group]))[0].sum(0)
         return out
 
 
-def sample(docs: DataFrame, docs_each: int = DOCS_EACH, words_each: int = WORDS_EACH) -> list[tuple[str, list[bytes]]]:
-    """Labelled words of a bounded sample: documents of least hashed id of each language."""
-    known = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & F.col("doc_id").isNotNull())
-    langs = [r.lang for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
-             .orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()]
+def sample(docs: DataFrame, docs_each: int = DOCS_EACH, words_each: int = WORDS_EACH,
+           docs_all: int = DOCS_ALL) -> list[tuple[str, list[bytes]]]:
+    """Labelled words of a bounded sample: documents of least hashed id, among those with words, of each language."""
+    known = docs.where(F.col("text").rlike(r"[A-Za-z]|[^\x00-\x7F]") & F.col("lang").isNotNull() & F.col("doc_id").isNotNull())
+    many = known.select("lang").distinct().count()
+    docs_each = min(docs_each, max(DOCS_LEAST, docs_all // max(1, many)))
     rank = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = (known.where(F.col("lang").isin(langs)).select("lang", "doc_id")
+    chosen = (known.select("lang", "doc_id")
               .withColumn("_n", F.row_number().over(rank)).where(F.col("_n") <= docs_each).select("doc_id").distinct())
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -210,16 +219,17 @@ def predict(docs: DataFrame, langs: list[str], net: Network, lettered: str | Non
     """
     docs = docs.drop("lang_pred", "score")
     n = max(1, len(langs))
+    step, kept = shrunk(500, n), shrunk(KEPT_WORDS, n)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place: dict[bytes, int] = remembered(object(), dict)
         worth = np.zeros((1024, n), np.float32)
         for batch in batches:
             pred, score, letters = [], [], []
-            for at in range(0, batch.num_rows, 500):
-                texts = batch.column("text").slice(at, 500).to_pylist()
+            for at in range(0, batch.num_rows, step):
+                texts = batch.column("text").slice(at, step).to_pylist()
                 some = [words_of(t) if t else [] for t in texts]
-                if len(place) > KEPT_WORDS:
+                if len(place) > kept:
                     place.clear()
                 new = list(set().union(*some).difference(place))
                 if new:

@@ -39,6 +39,31 @@ def test_nothing_to_learn(spark, empty):
     assert langid.predict(empty, langs, net).count() == 0
 
 
+def test_more_than_64_languages_are_learned(spark):
+    """70 languages; six of them have fewer documents than any other."""
+    r = random.Random(5)
+    own = {f"l{k:02d}": ["".join(r.choice("bcdfghjklmnpqrstvwxz") + r.choice("aeiou") for _ in range(2)) for _ in range(6)] for k in range(70)}
+    rows = []
+    for lang, sounds in own.items():
+        for _ in range(20 if lang >= "l64" else 30):
+            words = ["".join(r.choice(sounds) for _ in range(r.randint(1, 3))) for _ in range(40)]
+            rows.append((len(rows), " ".join(words), lang))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    langs, net = langid.train(docs.where(~langid.is_held_out(F.col("doc_id"))))
+    assert langs == sorted(own)
+    got = langid.predict(docs, langs, net).where(langid.is_held_out(F.col("doc_id"))).collect()
+    rare = [x for x in got if x.lang >= "l64"]
+    print(len(got), np.mean([x.lang_pred == x.lang for x in got]), len(rare), np.mean([x.lang_pred == x.lang for x in rare]))
+    assert np.mean([x.lang_pred == x.lang for x in got]) > 0.95 and np.mean([x.lang_pred == x.lang for x in rare]) > 0.9
+
+
+def test_sample_is_bounded_in_total(spark):
+    docs = spark.createDataFrame([(i, f"ka{i} word", f"l{i % 100}") for i in range(3000)] + [(i, "12", "l200") for i in range(3000, 3020)]
+                                 + [(4000, "ka", "l200")], "doc_id long, text string, lang string")
+    found = [lang for lang, _ in langid.sample(docs, docs_all=1000)]
+    assert len(set(found)) == 101 and found.count("l200") == 1 and len(found) <= 1000
+
+
 def test_gradients_equal_differences():
     net = langid.Network(3, hidden=4)
     net.p = {k: v.astype(np.float64) for k, v in net.p.items()}
