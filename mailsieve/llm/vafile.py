@@ -7,7 +7,7 @@ exact vectors are read in the order of their bounds (best first) until the kth r
 
 Queries go in blocks, each met by every block of cells; no pair of rows is formed before the
 bounds have cut the candidates.  Of equal vectors only the ``k + 1`` smallest ids can ever be
-in a result, so a very common vector does not multiply.
+in a result, so a very common vector does not multiply; rows of equal id and vector are one with a count.
 """
 
 from __future__ import annotations
@@ -92,12 +92,12 @@ def _exact(k: int):
         upper = group.column("upper").to_numpy()
         order = np.argsort(-upper, kind="stable")
         q = np.array(group.column("q")[0].as_py(), dtype=object)
-        ids, vectors, best = group.column("vec_id"), group.column("v"), []
+        ids, vectors, copies, best = group.column("vec_id"), group.column("v"), group.column("copies"), []
         for at in order:
             if len(best) >= k and upper[at] < best[k - 1][0]:
                 break
             score = -int(np.dot(q, np.array(vectors[int(at)].as_py(), dtype=object)))
-            best.append((-score, ids[int(at)].as_py()))
+            best += [(-score, ids[int(at)].as_py())] * min(k, copies[int(at)].as_py())
             best.sort(key=lambda x: (-x[0], x[1]))
             del best[k:]
         return pa.table({"query_id": pa.array([group.column("query_id")[0].as_py()] * len(best), pa.int64()),
@@ -116,7 +116,8 @@ def top_k(candidates: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     rows count each.  Scores must fit 64 bits.
     """
     alike = Window.partitionBy(F.xxhash64("v"), "v").orderBy("vec_id")
-    kept = stage_table(candidates.withColumn("_n", F.row_number().over(alike)).where(F.col("_n") <= k + 1).drop("_n"))
+    counted = candidates.groupBy("vec_id", "v").agg(F.count(F.lit(1)).alias("copies"))
+    kept = stage_table(counted.withColumn("_n", F.row_number().over(alike)).where(F.col("_n") <= k + 1).drop("_n"))
     asked = queries.dropDuplicates(["vec_id"])
     edges = (kept.select(F.size("v").alias("dim"), F.posexplode("v").alias("at", "x"))
              .groupBy("dim", "at").agg(F.min("x").alias("low"), F.max("x").alias("high")).orderBy("dim", "at").collect())
@@ -133,15 +134,17 @@ def top_k(candidates: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
         .withColumn("dim", F.size("v"))
     grouped = asked.groupBy("dim", "block").agg(F.array_sort(F.collect_list(F.struct("vec_id", "v"))).alias("_q")).select(
         "dim", "block", F.col("_q.vec_id").alias("query_ids"), F.flatten(F.col("_q.v")).alias("queries"))
-    file = _blocks(kept, marks).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    file = _blocks(kept.select("vec_id", "v"), marks).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     met = file.join(grouped, ["dim", "block"]).repartition(partitions(candidates.sparkSession))
     found = stage_table(met.drop("block").mapInArrow(
         _bounds(marks, k), "query_id long, vec_id long, upper double, kth double"))
     least = found.groupBy("query_id").agg(F.max("kth").alias("least"))
+    # an id with several vectors is found once for each of them, and is read with all of the query's length
     left = (found.join(least, "query_id").where(F.col("upper") >= F.col("least"))
-            .select("query_id", "vec_id", "upper"))
+            .groupBy("query_id", "vec_id").agg(F.max("upper").alias("upper")))
     read = (left.join(kept, "vec_id")
-            .join(asked.select(F.col("vec_id").alias("query_id"), F.col("v").alias("q")), "query_id"))
+            .join(asked.select(F.col("vec_id").alias("query_id"), F.col("v").alias("q")), "query_id")
+            .where(F.size("v") == F.size("q")))
     return read.groupBy("query_id").applyInArrow(_exact(k), "query_id long, rank int, vec_id long, score long")
 
 

@@ -37,3 +37,18 @@ def test_few_rows(spark):
     assert run(spark, [(0, [1.0])]) == []
     assert run(spark, [(0, [1.0]), (3, [2.0]), (4, [2.0])]) == [(0, 1, 3, 131072), (0, 2, 4, 131072)]
     assert run(spark, []) == []
+
+
+def test_repeated_ids(spark):
+    r = random.Random(2)
+    rows = [(i, [r.gauss(0, 0.2) for _ in range(8)]) for i in range(1, 400) if i % 50]
+    best = [2.0] * 8
+    rows += [(50, best)] * 9 + [(1001, best), (1002, best)]                  # a query's own copies do not push others out
+    rows += [(1010, [1.5] * 8)] * 2 + [(1020, [1.2] * 8)] * 12               # candidates count once for each row
+    rows += [(1030, [1.4] * 8), (1030, [1.3] * 8), (1030, [1.3] * 8), (1030, [9.0] * 3)]   # an id of several vectors
+    rows += [(1050, [0.1] * 8), (1100, [-0.1] * 8), (1150, [1.0, 0.0, 0.0])]
+    got = run(spark, rows)
+    assert got == brute_force(rows)
+    assert [x[2] for x in got if x[0] == 50] == [1001, 1002, 1010, 1010, 1030]
+    few = [(50, [1.0]), (1, [2.0]), (1, [2.0]), (2, [2.0])]
+    assert run(spark, few) == [(50, 1, 1, 131072), (50, 2, 1, 131072), (50, 3, 2, 131072)] == brute_force(few)
