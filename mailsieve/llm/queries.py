@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, common, fingerprints, langid, merkle, neardup, packing, secrets, substrings, suffixes, vafile
+from . import bpe, chat, common, fingerprints, langid, merkle, neardup, online, packing, secrets, substrings, suffixes, vafile
 
 
 def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,5 +70,9 @@ def op11_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.verify(common.read(spark, sf_dir, "documents", *merkle.FIELDS), tampered())
 
 
-QUERIES = {f.__name__: f for f in (op1_secrets, op2_bpe, op3_substrings, op4_suffixes, op5_fingerprints, op6_top_k, op7_packing, op8_near_duplicates, op9_chat, op10_language, op11_manifest)}
+def op12_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return online.pack(common.documents(spark, sf_dir), bpe.default_vocabulary())
+
+
+QUERIES = {f.__name__: f for f in (op1_secrets, op2_bpe, op3_substrings, op4_suffixes, op5_fingerprints, op6_top_k, op7_packing, op8_near_duplicates, op9_chat, op10_language, op11_manifest, op12_windows)}
 ORACLES: dict[str, str] = {"op6_top_k": vafile.ORACLE, "op9_chat": chat.ORACLE, "op11_manifest": merkle.ORACLE}
