@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, common, fingerprints, langid, merkle, neardup, online, packing, secrets, substrings, suffixes, vafile
+from . import (bpe, chat, common, fingerprints, langid, merkle, neardup, negatives, online, packing, secrets, substrings,
+               suffixes, vafile)
 
 
 def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,5 +75,13 @@ def op12_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return online.pack(common.documents(spark, sf_dir), bpe.default_vocabulary())
 
 
-QUERIES = {f.__name__: f for f in (op1_secrets, op2_bpe, op3_substrings, op4_suffixes, op5_fingerprints, op6_top_k, op7_packing, op8_near_duplicates, op9_chat, op10_language, op11_manifest, op12_windows)}
-ORACLES: dict[str, str] = {"op6_top_k": vafile.ORACLE, "op9_chat": chat.ORACLE, "op11_manifest": merkle.ORACLE}
+def op13_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = common.read(spark, sf_dir, "embeddings", "vec_id", "embedding", "label")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vectors = negatives.labelled_vectors(rows.withColumn("label", moved))
+    return negatives.mine(vectors, vectors.where(F.col("vec_id") % 50 == 0))
+
+
+QUERIES = {f.__name__: f for f in (op1_secrets, op2_bpe, op3_substrings, op4_suffixes, op5_fingerprints, op6_top_k, op7_packing, op8_near_duplicates, op9_chat, op10_language, op11_manifest, op12_windows,
+                                op13_negatives)}
+ORACLES: dict[str, str] = {"op6_top_k": vafile.ORACLE, "op9_chat": chat.ORACLE, "op11_manifest": merkle.ORACLE, "op13_negatives": negatives.ORACLE}
