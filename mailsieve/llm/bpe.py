@@ -21,13 +21,15 @@ import unicodedata
 from array import array
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .common import remembered
 
-#: Words kept between batches of a worker; past it the memory is emptied and filled anew.
-KEPT_WORDS = 800_000
+#: Bytes of words kept between batches of a worker (each word counts its letters four times, for its text and ids,
+#: and 200 for objects).  Past half of it the words are set aside; those met again come back, the others go next time.
+KEPT_BYTES = 192 << 20
 #: Characters of text taken together; bounds the words in memory, not what is read.
 BATCH_CHARS = 4_000_000
 _NEVER = 1 << 40
@@ -96,6 +98,8 @@ class TrieEncoder:
         self.final_lengths = self._lengths(self.final)
         self.fits: dict[int, bool] = {}
         self.words: dict[str, bytes] = {}
+        self.aside: dict[str, bytes] = {}
+        self.letters = 0
         letters, numbers = _classes(self.PLAIN)
         space = r"\t-\r \u0085 "
         self.plain = re.compile(
@@ -105,14 +109,15 @@ class TrieEncoder:
 
     @staticmethod
     def _lengths(tokens: dict[bytes, int]) -> dict[bytes, tuple[int, ...]]:
-        """Lengths of the tokens that end in the same three bytes (two, for those of two),
-        longest first."""
+        """For two to four last bytes: lengths of the tokens that end in them, and of their own ends
+        that are tokens, longest first."""
         found: dict[bytes, set[int]] = {}
         for raw in tokens:
             if len(raw) > 1:
-                found.setdefault(raw[-3:], set()).add(len(raw))
-        for k in [k for k in found if len(k) == 3 and k[1:] in tokens]:
-            found[k].add(2)
+                for n in range(2, min(4, len(raw)) + 1):
+                    found.setdefault(raw[-n:], set()).add(len(raw))
+        for k, lengths in found.items():
+            lengths.update(n for n in range(2, len(k)) if k[-n:] in tokens)
         return {k: tuple(sorted(v, reverse=True)) for k, v in found.items()}
 
     # -- neighbours ---------------------------------------------------------------
@@ -152,41 +157,40 @@ class TrieEncoder:
 
     def _last_token(self, raw: bytes, end: int, state: list[int], tokens, lengths, single) -> int:
         """Last token of the encoding of ``raw[:end]``, from the states of its prefixes."""
-        if end > 1:
-            found = lengths.get(raw[end - 3:end] if end > 2 else raw[:end])
-            if found is None:
-                found = (2,)
-            fits = self.fits
-            for n in found:
-                if n <= end:
-                    t = tokens.get(raw[end - n:end])
-                    if t is not None:
-                        if n == end:
-                            return t
-                        known = fits.get(state[end - n] << 20 | t)
-                        if known or known is None and self._neighbours(state[end - n], t):
-                            return t
+        fits = self.fits
+        ends = lengths.get(raw[end - 4:end]) if end > 3 else None
+        for n in ends or lengths.get(raw[end - 3:end] if end > 2 else raw[:end]) or (2,):
+            if n <= end:
+                t = tokens.get(raw[end - n:end])
+                if t is not None:
+                    if n == end:
+                        return t
+                    known = fits.get(state[end - n] << 20 | t)
+                    if known or known is None and self._neighbours(state[end - n], t):
+                        return t
         return single[raw[end - 1]]
 
     def _walk(self, words: Iterable[str]) -> None:
         """Depth-first over the trie of ``words``: sorted words visit its nodes in order, and
         the stack of states is cut back to the prefix shared with the word before."""
-        state, before = [0], b""
-        for word, raw in sorted(((w, w.encode("utf-8")) for w in words), key=lambda x: x[1]):
-            n, shared, most = len(raw), 0, min(len(raw) - 1, len(state) - 1)
-            while shared < most and raw[shared] == before[shared]:
-                shared += 1
+        ordered = sorted([(w.encode("utf-8"), w) for w in words])
+        state, last_token, size, known = [0], self._last_token, self.size, self.words
+        inner, inner_lengths, first = self.inner, self.inner_lengths, self.first
+        final, final_lengths, last = self.final, self.final_lengths, self.last
+        for (raw, word), shared in zip(ordered, _shared([raw for raw, _ in ordered])):
+            n = len(raw)
+            shared = min(shared, n - 1, len(state) - 1)
             del state[shared + 1:]
             for end in range(shared + 1, n):
-                state.append(self._last_token(raw, end, state, self.inner, self.inner_lengths, self.first))
-            t = self._last_token(raw, n, state, self.final, self.final_lengths, self.last)
-            out, at = [t], n - self.size[t]
+                state.append(last_token(raw, end, state, inner, inner_lengths, first))
+            t = last_token(raw, n, state, final, final_lengths, last)
+            out, at = [t], n - size[t]
             while at > 0:
                 t = state[at]
                 out.append(t)
-                at -= self.size[t]
-            self.words[word] = array("I", reversed(out)).tobytes()
-            before = raw
+                at -= size[t]
+            out.reverse()
+            known[word] = array("I", out).tobytes()
 
     # -- texts --------------------------------------------------------------------
     #: What the vocabulary's splitter takes for text and str.split() for white space.
@@ -219,13 +223,29 @@ class TrieEncoder:
                 out += self._split(part)
         return out
 
+    def _recall(self, chunks: set[str]) -> set[str]:
+        """Chunks that are not known; those set aside come back."""
+        new = chunks.difference(self.words)
+        again = new.intersection(self.aside)
+        self.words.update(zip(again, map(self.aside.__getitem__, again)))
+        self.letters += sum(map(len, new))
+        return new.difference(again)
+
     def _learn(self, chunks: set[str]) -> None:
         """Encode new chunks; no word of the splitter reaches over white space, so a chunk's
         ids are those of its words, one after another."""
-        cut = {c: w for c in chunks if (w := self.plain.findall(c) if self.beyond.search(c) is None else [c]) != [c]}
-        self._walk(set().union(chunks.difference(cut), *cut.values()).difference(self.words))
+        if 200 * len(self.words) + 4 * self.letters > KEPT_BYTES // 2:
+            self.aside, self.words, self.letters = self.words, {}, 0
+        plain, beyond, cut, whole = self.plain.findall, self.beyond.search, [], []
+        for c in self._recall(chunks):
+            if not c.isalpha() and (c.isascii() or beyond(c) is None) and (w := plain(c)) != [c]:
+                cut.append((c, w))
+            else:
+                whole.append(c)
+        self._walk(whole)
+        self._walk(self._recall(set().union(*[w for _, w in cut])))
         known = self.words.__getitem__
-        self.words.update([(c, b"".join(map(known, w))) for c, w in cut.items()])
+        self.words.update([(c, b"".join(map(known, w))) for c, w in cut])
 
     def encode_many(self, texts: list[str]) -> Iterator[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
@@ -236,13 +256,11 @@ class TrieEncoder:
                 chars += len(texts[end])
                 end += 1
             split = [self._pieces(t) for t in texts[start:end]]
-            if len(self.words) > KEPT_WORDS:
-                self.words.clear()
-            new = set().union(*split).difference(self.words)
-            for i in [w for w in new if isinstance(w, int)]:
-                new.discard(i)
+            words = set().union(*split)
+            control = [w for w in words if isinstance(w, int)] if self.specials else ()
+            self._learn(words.difference(control))
+            for i in control:
                 self.words[i] = array("I", [i]).tobytes()
-            self._learn(new)
             known = self.words.__getitem__
             for pieces in split:
                 yield b"".join(map(known, pieces))
@@ -253,6 +271,23 @@ class TrieEncoder:
         return " ".join(map(self.names.__getitem__, ids))
 
 
+def _shared(ordered: list[bytes]) -> list[int]:
+    """Bytes that each word shares with the one before it."""
+    if not ordered:
+        return []
+    width = 32
+    laid = np.frombuffer(b"".join([raw[:width].ljust(width, b"\xff") for raw in ordered]), np.uint8).reshape(-1, width)
+    differ = laid[1:] != laid[:-1]
+    out = [0, *np.where(differ.any(1), differ.argmax(1), width).tolist()]
+    for k in [k for k, n in enumerate(out) if n == width]:
+        raw, before = ordered[k], ordered[k - 1]
+        at, most = width, min(len(raw), len(before))
+        while at < most and raw[at] == before[at]:
+            at += 1
+        out[k] = at
+    return out
+
+
 @functools.cache
 def _back() -> dict[str, int]:
     return {n: b for b, n in enumerate(_byte_names())}

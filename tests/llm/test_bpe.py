@@ -32,10 +32,10 @@ def test_awkward_texts():
 
 
 def test_memory_may_be_emptied(monkeypatch):
-    monkeypatch.setattr(bpe, "KEPT_WORDS", 10)
+    monkeypatch.setattr(bpe, "KEPT_BYTES", 5000)
     monkeypatch.setattr(bpe, "BATCH_CHARS", 100)
     enc = bpe.TrieEncoder(bpe.default_vocabulary())
-    texts = [prose(i, 40) for i in range(5)]
+    texts = [prose(i, 40) for i in range(5)] * 2 + ["longer" * 90, "longer" * 91 + " " + "longer" * 90]
     assert list(enc.encode_many(texts)) == list(bpe.encoder(bpe.default_vocabulary()).encode_many(texts))
 
 
