@@ -1,47 +1,106 @@
-"""Running sender baseline per recipient."""
+"""Running sender baseline per recipient, with keyed state."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions import fixed_values as fv
-from ..operators.baseline import sender_baseline
+from ..functions.identity import registrable
+from . import state
 
-KEPT = "id bigint, user_id bigint, ts timestamp, from_addr string"
+FACTS = ("id bigint, user_id bigint, prior_messages bigint, address_count bigint, domain_count bigint, "
+         "available boolean, first_time_address boolean, first_time_domain boolean, revision int")
 
 
-def run_baseline_stream(log: DataFrame, folder: str, limit: int = fv.BASELINE_LIMIT,
-                        minimum: int = fv.BASELINE_MINIMUM) -> StreamingQuery:
-    """First-contact facts of each arriving message go to ``folder``.
-
-    A micro-batch joins the last ``limit`` messages of each recipient that earlier ones left, and
-    the batch operator takes both: recipients are cut into blocks, so a mailbox of any size is many
-    small groups.  State is a table of at most ``limit`` rows per recipient.  The size of a
-    micro-batch is the source's (``maxFilesPerTrigger``); one that is run again writes the same
-    folders again.  A message that arrives after later ones is compared with those before it in time.
+def _handler(limit: int, minimum: int, lateness_us: int, ttl_ms: int | None):
+    """The state handler; made here so that it travels to the workers by value."""
+    from collections import Counter
+
+    from pyspark.sql import Row
+    from pyspark.sql.streaming import StatefulProcessor
+
+    def counted(messages: list, first: int) -> list[tuple]:
+        """(prior, address, domain) of the messages from ``first`` on, against ``limit`` before each."""
+        held = messages[max(0, first - limit):first]
+        domains, addresses = Counter(m[3] for m in held), Counter((m[3], m[2]) for m in held)
+        out = []
+        for at in range(first, len(messages)):
+            _, _, address, domain, _ = messages[at]
+            out.append((min(at, limit), addresses[domain, address], domains[domain]))
+            domains[domain] += 1
+            addresses[domain, address] += 1
+            if at >= limit:
+                _, _, address, domain, _ = messages[at - limit]
+                domains[domain] -= 1
+                addresses[domain, address] -= 1
+        return out
+
+    class Baseline(StatefulProcessor):
+        def init(self, handle) -> None:
+            self.kept = handle.getListState(
+                "kept", "us bigint, id bigint, address string, domain string, revision int", ttl_ms)
+
+        def handleInputRows(self, key, rows, timerValues):
+            kept = [tuple(r) for r in self.kept.get()] if self.kept.exists() else []
+            known = {m[:2] for m in kept}
+            new = {(r.us, r.id): (r.us, r.id, r.from_addr, r.from_org, 0) for r in rows if (r.us, r.id) not in known}
+            if not new:
+                return
+            both = sorted([*kept, *new.values()], key=lambda m: m[:2])
+            first = next(i for i, m in enumerate(both) if m[:2] in new)
+            # facts of messages behind a late one may have changed
+            old = dict(zip([m[:2] for m in kept[first:]], counted(kept, first)))
+            for at, facts in enumerate(counted(both, first), first):
+                us, message, address, domain, revision = both[at]
+                if old.get((us, message)) == facts:
+                    continue
+                if (us, message) in old:
+                    revision += 1
+                    both[at] = (us, message, address, domain, revision)
+                prior, addresses, domains = facts
+                ready = prior >= minimum
+                yield Row(id=message, user_id=key[0], prior_messages=prior, address_count=addresses, domain_count=domains,
+                          available=ready, first_time_address=ready and not addresses,
+                          first_time_domain=ready and not domains, revision=revision)
+            horizon = both[-1][0] - lateness_us
+            begin = next(i for i, m in enumerate(both) if m[0] >= horizon)
+            self.kept.put(both[max(0, begin - limit):])
+
+        def close(self) -> None:
+            pass
+
+    return Baseline()
+
+
+def baseline_stream(log: DataFrame, limit: int = fv.BASELINE_LIMIT, minimum: int = fv.BASELINE_MINIMUM,
+                    lateness: float = 86400.0, ttl: float | None = None) -> DataFrame:
+    """First-contact facts of each arriving message (``id, user_id, ts, from_addr``).
+
+    The state of a recipient is the list of its messages of the last ``lateness`` seconds and the
+    ``limit`` before those; only recipients with new mail are read and written.  A message that is late by no
+    more than that gets the facts of its own time, and later messages whose facts it changes are
+    sent again with a higher ``revision``.  One that is later still is compared with what is kept.  A message that
+    is delivered again is ignored.  Messages without sender are left out; those without time come first.  With
+    ``ttl`` (seconds) the store forgets recipients without mail for so long.
     """
-    def each(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        new = batch.where(F.col("from_addr").isNotNull()).select("id", "user_id", "ts", "from_addr")
-        both = new.withColumn("_new", F.lit(True))
-        if number > 0:
-            kept = spark.read.schema(KEPT).parquet(f"{folder}/kept/batch={number - 1}")
-            both = both.unionByName(kept.withColumn("_new", F.lit(False)))
-        facts = sender_baseline(both, limit, minimum)
-        facts.join(new.select("id", "user_id"), ["id", "user_id"], "left_semi") \
-            .write.mode("overwrite").parquet(f"{folder}/facts/batch={number}")
-        latest = Window.partitionBy("user_id").orderBy(F.desc("ts"), F.desc("id"))
-        both.withColumn("_n", F.row_number().over(latest)).where(F.col("_n") <= limit) \
-            .select("id", "user_id", "ts", "from_addr") \
-            .write.mode("overwrite").parquet(f"{folder}/kept/batch={number}")
-
-    return log.writeStream.foreachBatch(each).option("checkpointLocation", f"{folder}/state") \
-        .trigger(availableNow=True).start()
+    rows = log.where(F.col("from_addr").isNotNull()).select(
+        "id", "user_id", F.coalesce(F.unix_micros(F.col("ts").cast("timestamp")), F.lit(-(1 << 60))).alias("us"), "from_addr",
+        registrable(F.substring_index("from_addr", "@", -1)).alias("from_org"))
+    handler = _handler(limit, minimum, int(lateness * 1e6), None if ttl is None else int(ttl * 1000))
+    return rows.groupBy("user_id").transformWithState(
+        handler, FACTS, "append", "None" if ttl is None else "ProcessingTime")
+
+
+def run_baseline_stream(log: DataFrame, folder: str, limit: int = fv.BASELINE_LIMIT,
+                        minimum: int = fv.BASELINE_MINIMUM, lateness: float = 86400.0) -> StreamingQuery:
+    """Append the facts of arriving messages to ``folder``; see :func:`baseline_stream`."""
+    return state.start(baseline_stream(log, limit, minimum, lateness), f"{folder}/facts", f"{folder}/state")
 
 
 def streamed_facts(spark: SparkSession, folder: str) -> DataFrame:
-    """All facts that the stream has written."""
-    first = spark.read.parquet(f"{folder}/facts/batch=0")
-    return spark.read.schema(first.schema).option("recursiveFileLookup", "true").parquet(f"{folder}/facts")
+    """The last revision of all facts that the stream has written."""
+    facts = spark.read.schema(FACTS).parquet(f"{folder}/facts")
+    rest = [c for c in facts.columns if c not in ("id", "user_id", "revision")]
+    return facts.groupBy("id", "user_id").agg(F.max_by(F.struct(*rest), "revision").alias("r")).select("id", "user_id", "r.*")

@@ -9,7 +9,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-WALKED = "user_id bigint, event_id bigint, allowed boolean, tokens double, last timestamp"
+from . import state
+
+DECIDED = "user_id bigint, event_id bigint, allowed boolean"
 
 
 def bucket(rate: int, per: float):
@@ -44,76 +46,96 @@ def idle_segments(requests: DataFrame, per: float) -> DataFrame:
     return d.join(slots, ["user_id", "_slot"]).drop("_us", "_slot")
 
 
-def _walked(requests: DataFrame, rate: int, per: float, states: DataFrame | None = None) -> DataFrame:
-    """Decisions, and after each stretch a row without event that holds the bucket.
-
-    Rows are sorted inside partitions of whole stretches and walked in batches with one
-    bucket at a time; nothing is held but the current bucket.  ``states`` are such bucket rows of
-    an earlier walk; each stands before the requests that follow it.
-    """
+def _walked(requests: DataFrame, rate: int, per: float) -> DataFrame:
+    """Decisions; rows are sorted inside partitions of whole stretches and walked in batches with
+    one bucket at a time; nothing is held but the current bucket."""
     decide = bucket(rate, per)
 
     def walk(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         current, tokens, last = None, float(rate), None
-
-        def closing():
-            return (current[0], None, None, tokens, pd.Timestamp(round(last * 1e6), unit="us"))
         for frame in frames:
             out = []
             seconds = frame["ts"].astype("datetime64[us]").astype("int64").to_numpy() / 1e6
-            for key, event, held, now in zip(zip(frame["user_id"], frame["segment"]), frame["event_id"], frame["tokens"], seconds):
+            for key, event, now in zip(zip(frame["user_id"], frame["segment"]), frame["event_id"], seconds):
                 if key != current:
-                    if current is not None:
-                        out.append(closing())
                     current, tokens, last = key, float(rate), None
-                if not pd.isna(held):
-                    tokens, last = held, now
-                    continue
                 allowed, tokens = decide(now, tokens, last)
                 last = now
-                out.append((key[0], event, allowed, None, None))
-            yield pd.DataFrame(out, columns=["user_id", "event_id", "allowed", "tokens", "last"]).astype(
-                {"user_id": "Int64", "event_id": "Int64", "allowed": "boolean", "tokens": "Float64", "last": "datetime64[us]"})
-        if current is not None:
-            yield pd.DataFrame([closing()], columns=["user_id", "event_id", "allowed", "tokens", "last"]).astype(
-                {"user_id": "Int64", "event_id": "Int64", "allowed": "boolean", "tokens": "Float64", "last": "datetime64[us]"})
+                out.append((key[0], event, allowed))
+            yield pd.DataFrame(out, columns=["user_id", "event_id", "allowed"]).astype(
+                {"user_id": "Int64", "event_id": "Int64", "allowed": "boolean"})
 
-    rows = requests.select("user_id", "event_id", "ts", F.lit(None).cast("double").alias("tokens"))
-    if states is not None:
-        rows = rows.unionByName(states.select("user_id", F.lit(None).cast("bigint").alias("event_id"), F.col("last").alias("ts"), "tokens"))
-    return (idle_segments(rows, per).repartition("user_id", "segment")
-            .sortWithinPartitions("user_id", "segment", "ts", F.col("tokens").isNull(), "event_id")
-            .select("user_id", "segment", "event_id", "ts", "tokens").mapInPandas(walk, WALKED))
+    return (idle_segments(requests.select("user_id", "event_id", "ts"), per).repartition("user_id", "segment")
+            .sortWithinPartitions("user_id", "segment", "ts", "event_id")
+            .select("user_id", "segment", "event_id", "ts").mapInPandas(walk, DECIDED))
 
 
 def limited(requests: DataFrame, rate: int = 5, per: float = 60.0) -> DataFrame:
     """Which requests (event_id, user_id, ts) a client's bucket lets through, in order of time
     and event."""
-    return _walked(requests, rate, per).where(F.col("allowed").isNotNull()).select("user_id", "event_id", "allowed")
+    return _walked(requests, rate, per)
 
 
-def limit_stream(requests: DataFrame, folder: str, rate: int = 5, per: float = 60.0) -> StreamingQuery:
-    """Stream twin: decisions of each micro-batch and the buckets it leaves go to ``folder``.
+def _handler(rate: int, per: float):
+    """The state handler; made here so that it travels to the workers by value."""
+    from pyspark.sql import Row
+    from pyspark.sql.streaming import StatefulProcessor
+    decide = bucket(rate, per)
 
-    A micro-batch is sorted by client and time before it is walked, whatever order its rows
-    arrive in, and starts from the buckets of the batch before; no client has to fit in memory.  The size
-    of a micro-batch is the source's (``maxFilesPerTrigger``).  A batch that is run again writes
-    the same folder again.
+    class Bucket(StatefulProcessor):
+        def init(self, handle) -> None:
+            self.handle = handle
+            self.bucket = handle.getValueState("bucket", "tokens double, us bigint, expires bigint")
+
+        def handleInputRows(self, key, rows, timerValues):
+            tokens, last, expires = float(rate), None, None
+            if self.bucket.exists():
+                tokens, us, expires = self.bucket.get()
+                last = us / 1e6
+            latest = us if last is not None else None
+            for us, event in sorted((r.us, r.event_id) for r in rows):
+                latest = us if latest is None else max(us, latest)        # a late request finds no refill
+                allowed, tokens = decide(latest / 1e6, tokens, last)
+                last = latest / 1e6
+                yield Row(user_id=key[0], event_id=event, allowed=allowed)
+            if expires is not None:
+                self.handle.deleteTimer(expires)
+            expires = -(-(latest + int(per * 1e6)) // 1000)
+            self.bucket.update((tokens, latest, expires))
+            self.handle.registerTimer(expires)
+
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+            """After so long a pause the bucket is full, as is that of a client without state."""
+            self.bucket.clear()
+            return iter(())
+
+        def close(self) -> None:
+            pass
+
+    return Bucket()
+
+
+def decision_stream(requests: DataFrame, rate: int = 5, per: float = 60.0, lateness: str = "0 seconds") -> DataFrame:
+    """Decisions on arriving requests (``event_id, user_id, ts``).
+
+    The state of a client is its bucket, kept by the engine until a timer finds that the client has
+    paused for ``per``, when it would be full again; only clients that ask, or whose timer is due, are touched.
+    A micro-batch is sorted by client and time before it is walked.  Time is the requests' own; a micro-batch may
+    go back by ``lateness`` behind the one before.  A request older than what its client asked last is
+    decided as of that; none is dropped but those without time.
     """
-    def each(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        states = None
-        if number > 0:
-            before = spark.read.schema(WALKED).parquet(f"{folder}/walked/batch={number - 1}").where(F.col("allowed").isNull())
-            states = before.groupBy("user_id").agg(F.max_by("tokens", "last").alias("tokens"), F.max("last").alias("last"))
-        walked = _walked(batch.select("user_id", "event_id", "ts"), rate, per, states)
-        walked.write.mode("overwrite").parquet(f"{folder}/walked/batch={number}")
+    rows = requests.select("event_id", "user_id", F.col("ts").cast("timestamp").alias("ts")).where(F.col("ts").isNotNull()) \
+        .withColumn("us", F.unix_micros("ts")).withWatermark("ts", lateness)
+    # without the time column the engine has no late rows to leave out; the watermark still drives the timers
+    return rows.select("event_id", "user_id", "us").groupBy("user_id").transformWithState(
+        _handler(rate, per), DECIDED, "append", "EventTime")
+
 
-    return requests.writeStream.foreachBatch(each).option("checkpointLocation", f"{folder}/state") \
-        .trigger(availableNow=True).start()
+def limit_stream(requests: DataFrame, folder: str, rate: int = 5, per: float = 60.0, lateness: str = "0 seconds") -> StreamingQuery:
+    """Append the decisions on arriving requests to ``folder``; see :func:`decision_stream`."""
+    return state.start(decision_stream(requests, rate, per, lateness), f"{folder}/decisions", f"{folder}/state")
 
 
 def stream_decisions(spark: SparkSession, folder: str) -> DataFrame:
     """All decisions that ``limit_stream`` has written."""
-    return spark.read.schema(WALKED).option("recursiveFileLookup", "true").parquet(f"{folder}/walked") \
-        .where(F.col("allowed").isNotNull()).select("user_id", "event_id", "allowed")
+    return spark.read.schema(DECIDED).parquet(f"{folder}/decisions")

@@ -119,19 +119,3 @@ def test_expired_answers_count_as_absent(spark):
     held = spark.sql("select 'a.com' domain, '2001-01-01' created, true ok, timestamp'2026-01-05' expires")
     got = {r.id: (r.cached, r.created) for r in lookups.with_valid_answer(asked, held).collect()}
     assert got == {1: (True, "2001-01-01"), 2: (False, None), 3: (False, None)}
-
-
-def test_rate_limit_stream_equals_batch(spark, tmp_path):
-    """25 000 requests of one client out of order, over several frames and micro-batches."""
-    d = spark.range(25_600).select(
-        F.col("id").alias("event_id"), F.when(F.col("id") % 40 > 0, 1).otherwise(F.col("id") % 7).alias("user_id"),
-        F.timestamp_seconds(F.col("id") * F.lit(0.5)).alias("ts"))
-    for k in range(3):
-        d.where(F.floor(F.col("event_id") / 9000) == k).orderBy(F.xxhash64("event_id")).coalesce(1) \
-            .write.mode("append").parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema(d.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    ratelimit.limit_stream(stream, str(tmp_path / "out"), 50, 30.0).awaitTermination()
-    got = {r.event_id: r.allowed for r in ratelimit.stream_decisions(spark, str(tmp_path / "out")).collect()}
-    assert len(got) == 25_600
-    assert got == {r.event_id: r.allowed for r in ratelimit.limited(d, 50, 30.0).collect()}
-    assert 0 < sum(got.values()) < len(got)
