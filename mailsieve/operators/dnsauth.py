@@ -16,11 +16,12 @@ from ..functions.network import ipv4_number, is_ipv6, sending_ip
 from . import auth
 from .scale import durable, salted_lookup
 
-# Limits and qualifiers of SPF.
+# Limits and qualifiers of SPF, tags of DMARC.
 MAX_DEPTH, MAX_LOOKUPS, MAX_MX_HOSTS = 5, 10, 10
 QUALIFIERS = {"+": "pass", "-": "fail", "~": "softfail", "?": "neutral"}
 KNOWN_MECHANISMS = ["all", "ip4", "ip6", "a", "mx", "include", "exists", "ptr"]
 COSTLY_MECHANISMS = ["a", "mx", "include", "exists", "ptr"]
+DMARC_TAGS = ["v", "p", "sp", "np", "adkim", "aspf", "pct", "fo", "rf", "ri", "rua", "ruf"]
 DEFINITIVE_SPF = ["pass", "fail", "softfail", "neutral", "none", "permerror"]
 DEFINITIVE_DKIM = ["pass", "fail", "none"]
 DEFINITIVE_DMARC = ["pass", "fail", "none", "permerror"]
@@ -65,8 +66,13 @@ def spf_terms(policies: DataFrame) -> DataFrame:
         .otherwise(F.substring_index("raw_argument", "/", 1))
     argument = F.regexp_replace(argument, r"%\{[dD]\}", F.col("name"))
     prefix = F.when(~network, blank_to_null(F.regexp_extract("bare", r"/(\d+)(?://\d+)?$", 1)))
-    return rows.select("name", "pos", "redirect", "verdict", "mechanism",
-                       argument.alias("argument"), prefix.cast("int").alias("prefix"))
+    # a length that no address has; one of too many digits does not fit a number
+    stated = F.coalesce(prefix, F.when(network, blank_to_null(F.regexp_extract("raw_argument", r"/(\d+)$", 1))))
+    widest = F.when(F.col("mechanism") == "ip6", 128).otherwise(32)
+    broken = F.col("mechanism").isin("ip4", "ip6", "a", "mx") & stated.isNotNull() \
+        & F.coalesce(stated.try_cast("int") > widest, F.lit(True))
+    return rows.select("name", "pos", "redirect", "verdict", "mechanism", argument.alias("argument"),
+                       prefix.try_cast("int").alias("prefix"), broken.alias("broken"))
 
 
 def spf_nesting(terms: DataFrame, roots: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
@@ -94,19 +100,21 @@ def ipv6_hex(ip) -> Column:
 
 
 def in_network(ip, network, prefix=None) -> Column:
-    """``ip`` lies in ``network`` (address or address/length; ``prefix`` overrides)."""
+    """``ip`` lies in ``network`` (address or address/length; ``prefix`` overrides).  No address lies in a network
+    whose length is over 32 (IPv6: 128)."""
     base = F.substring_index(network, "/", 1)
     length = F.regexp_extract(network, r"/(\d+)$", 1).try_cast("int")
     bits = length if prefix is None else F.coalesce(prefix, length)
-    size = F.pow(F.lit(2.0), F.lit(32) - F.coalesce(bits, F.lit(32))).cast("bigint")
+    # lengths are bounded before they become exponents; longer ones hold no address
+    short, wide = F.coalesce(bits, F.lit(32)), F.coalesce(bits, F.lit(128))
+    size = F.pow(F.lit(2.0), F.lit(32) - F.least(short, F.lit(32))).cast("bigint")
     a, b = ipv4_number(ip), ipv4_number(base)
-    v4 = F.floor(a / size) == F.floor(b / size)
+    v4 = (F.floor(a / size) == F.floor(b / size)) & (short <= 32)
     x, y = ipv6_hex(ip), ipv6_hex(base)
-    wide = F.coalesce(bits, F.lit(128))
-    whole, rest = F.floor(wide / 4).cast("int"), wide % 4
+    whole, rest = F.floor(F.least(wide, F.lit(128)) / 4).cast("int"), F.least(wide, F.lit(128)) % 4
     digit = [F.conv(v.substr(whole + 1, F.lit(1)), 16, 10).cast("int") for v in (x, y)]
     step = F.pow(F.lit(2.0), F.lit(4) - rest).cast("int")
-    v6 = (x.substr(F.lit(1), whole) == y.substr(F.lit(1), whole)) & (
+    v6 = (x.substr(F.lit(1), whole) == y.substr(F.lit(1), whole)) & (wide <= 128) & (
         (rest == 0) | (F.floor(digit[0] / step) == F.floor(digit[1] / step)))
     return F.coalesce(v4, v6, F.lit(False))
 
@@ -154,7 +162,7 @@ def evaluate_spf(asked: DataFrame, dns: DataFrame, max_depth: int = MAX_DEPTH) -
         .groupBy("name", "ip", "pos").agg(F.bool_or(F.col("hit") & ~F.col("temporary"))
                                           .alias("hit"), F.bool_or("temporary").alias("temporary"))
     tries = tries.join(found, ["name", "ip", "pos"], "left").select(
-        "name", "ip", "pos", "mechanism", "verdict", "target",
+        "name", "ip", "pos", "mechanism", "verdict", "target", "broken",
         F.coalesce("temporary", F.lit(False)).alias("temporary"), (
             (F.col("mechanism") == "all")
             | (F.col("mechanism").isin("ip4", "ip6") & in_network("ip", F.col("argument")))
@@ -185,7 +193,7 @@ def _spf_round(pairs, policies, tries, inner) -> DataFrame:
     include = F.col("mechanism") == "include"
     decided = (
         F.when(F.col("mechanism") == "redirect", None)
-        .when(~F.col("mechanism").isin(KNOWN_MECHANISMS) | (include & (F.col("target") == "")),
+        .when(~F.col("mechanism").isin(KNOWN_MECHANISMS) | (include & (F.col("target") == "")) | F.col("broken"),
               F.lit("permerror"))
         .when(F.col("temporary") & ~F.col("matched"), F.lit("temperror"))
         .when(include & F.col("inner_spf").isin("permerror", "temperror"), F.col("inner_spf"))
@@ -247,11 +255,13 @@ def dmarc_records(dns: DataFrame) -> DataFrame:
 
 
 def dmarc_tags(record) -> Column:
-    """Tags of a policy record, names lower-cased."""
-    parsed = F.str_to_map(F.coalesce(record, F.lit("")), F.lit(";"), F.lit("="))
-    kept = F.filter(F.map_entries(parsed), lambda e: F.trim(e["key"]) != "")
-    return F.map_from_entries(F.transform(kept, lambda e: F.struct(
-        F.lower(F.trim(e["key"])), F.trim(F.coalesce(e["value"], F.lit(""))))))
+    """Known tags of a policy record, names lower-cased; of a tag that is repeated the last counts."""
+    cut = F.transform(F.split(F.coalesce(record, F.lit("")), ";"), lambda t: F.struct(
+        F.lower(F.trim(F.substring_index(t, "=", 1))).alias("key"),
+        F.when(F.contains(t, F.lit("=")), F.trim(F.regexp_replace(t, r"(?s)^[^=]*=", ""))).otherwise(F.lit("")).alias("value")))
+    last = F.transform(F.array(*[F.lit(t) for t in DMARC_TAGS]), lambda name: F.struct(
+        name, F.try_element_at(F.filter(cut, lambda t: t["key"] == name), F.lit(-1))["value"]))
+    return F.map_from_entries(last)
 
 
 def dmarc_lookup(domains: DataFrame, dns: DataFrame) -> DataFrame:

@@ -28,8 +28,8 @@ def current(log: DataFrame) -> DataFrame:
 
 
 def finding_field(name: str) -> Column:
-    """One field of the stored finding."""
-    return F.try_variant_get(F.parse_json("finding_json"), f"$.{name}", "string")
+    """One field of the stored finding; null where that is no JSON."""
+    return F.try_variant_get(F.try_parse_json("finding_json"), f"$.{name}", "string")
 
 
 def history(records: DataFrame, user_id=None, risk_level: str = "All",
