@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed_values as fv
 from ..functions.base import explode_rows
-from ..operators import activity, auth, baseline, dnsauth, headers, reputation
+from ..operators import activity, auth, baseline, dnsauth, headers, networks, reputation
 from . import oracle as o
 from .body_queries import LINK_CTES
 from .message_queries import AUTH_CTES, claimed_auth, mail_messages, scored_mail
@@ -279,6 +279,44 @@ def spf_evaluation(spark, sf):
     return dnsauth.evaluate_spf(asked, view(spark, sf, "dns")).select("domain", "ip", "spf")
 
 
+_EVENT_IP = """CASE WHEN event_id % 5 = 0
+    THEN '2001:db8:' || lower(to_hex(event_id % 7)) || '::' || lower(to_hex(1 + event_id % 60000))
+    ELSE (20 + event_id % 40) || '.' || (user_id % 200) || '.' || (event_id % 251) || '.' || (event_id % 249) END"""
+_BITS32 = "CAST(split_part({x}, '.', 1) AS BIGINT) * 16777216 + CAST(split_part({x}, '.', 2) AS BIGINT) * 65536 " \
+          "+ CAST(split_part({x}, '.', 3) AS BIGINT) * 256 + CAST(split_part({x}, '.', 4) AS BIGINT)"
+
+
+@query("event_networks", "J7", ctes={
+    "asking": f"SELECT event_id, {_EVENT_IP} AS ip FROM events",
+    "nets": """
+      SELECT s_suppkey AS owner, (20 + s_suppkey % 40) || '.' || (s_suppkey % 200) || '.' || (s_suppkey % 251) || '.0/' || (6 + s_suppkey % 19) AS network,
+             6 + s_suppkey % 19 AS len FROM supplier
+      UNION ALL SELECT s_suppkey, '2001:db8:' || (s_suppkey % 7) || '::/' || (s_suppkey % 9 + 40), s_suppkey % 9 + 40 FROM supplier""",
+    "held": f"""
+      SELECT a.event_id, n.network, n.owner, n.len FROM asking a JOIN nets n ON NOT contains(a.ip, ':') AND NOT contains(n.network, ':')
+        AND ({_BITS32.format(x="a.ip")}) // (1::BIGINT << (32 - n.len)) = ({_BITS32.format(x="split_part(n.network, '/', 1)")}) // (1::BIGINT << (32 - n.len))
+      UNION ALL
+      SELECT a.event_id, n.network, n.owner, n.len FROM asking a JOIN nets n ON contains(a.ip, ':') AND contains(n.network, ':')
+        AND CAST(split_part(a.ip, ':', 3) AS INTEGER) // (1 << (48 - n.len)) = CAST(split_part(n.network, ':', 3) AS INTEGER) // (1 << (48 - n.len))""",
+    "longest": """
+      SELECT event_id, network, owner FROM held
+      QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY len DESC, network, owner) = 1"""}, oracle="""
+    SELECT a.event_id, a.ip, f.network, f.owner FROM asking a LEFT JOIN longest f ON f.event_id = a.event_id""")
+def event_networks(spark, sf):
+    """Addresses of all events against the networks of all suppliers, IPv4 and IPv6, longest first."""
+    key, event = F.col("s_suppkey"), F.col("event_id")
+    text = lambda c: c.cast("string")
+    v4 = F.concat_ws(".", text(20 + key % 40), text(key % 200), text(key % 251), F.concat(F.lit("0/"), text(6 + key % 19)))
+    v6 = F.concat(F.lit("2001:db8:"), text(key % 7), F.lit("::/"), text(key % 9 + 40))
+    suppliers = table(spark, sf, "supplier")
+    nets = suppliers.select(v4.alias("network"), key.alias("owner")).unionByName(
+        suppliers.select(v6.alias("network"), key.alias("owner"))).groupBy("network").agg(F.min("owner").alias("owner"))
+    rows = table(spark, sf, "events").select("event_id", F.when(event % 5 == 0, F.lower(F.concat(
+        F.lit("2001:db8:"), F.hex(event % 7), F.lit("::"), F.hex(1 + event % 60000)))).otherwise(F.concat_ws(
+            ".", text(20 + event % 40), text(F.col("user_id") % 200), text(event % 251), text(event % 249))).alias("ip"))
+    return networks.match_networks(rows, nets)
+
+
 @query("dkim_rollup", "A18", ctes=DNS_CTES, oracle="""
     SELECT msg_id, verdict AS dkim_checked, array_to_string(coalesce(passed, []), ',') AS passed_domains FROM dkim_up""")
 def dkim_rollup(spark, sf):
