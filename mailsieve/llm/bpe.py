@@ -32,6 +32,9 @@ from .common import remembered
 KEPT_BYTES = 192 << 20
 #: Characters of text taken together; bounds the words in memory, not what is read.
 BATCH_CHARS = 4_000_000
+#: Words of so many bytes have their states found in order, so that asking for one never goes deep.
+DEEP = 256
+_UNKNOWN = [-1] * DEEP
 _NEVER = 1 << 40
 
 
@@ -156,7 +159,7 @@ class TrieEncoder:
         return known
 
     def _last_token(self, raw: bytes, end: int, state: list[int], tokens, lengths, single) -> int:
-        """Last token of the encoding of ``raw[:end]``, from the states of its prefixes."""
+        """Last token of the encoding of ``raw[:end]``, from the states of the prefixes it asks for."""
         fits = self.fits
         ends = lengths.get(raw[end - 4:end]) if end > 3 else None
         for n in ends or lengths.get(raw[end - 3:end] if end > 2 else raw[:end]) or (2,):
@@ -165,28 +168,36 @@ class TrieEncoder:
                 if t is not None:
                     if n == end:
                         return t
-                    known = fits.get(state[end - n] << 20 | t)
-                    if known or known is None and self._neighbours(state[end - n], t):
+                    left = state[end - n]
+                    if left < 0:
+                        left = state[end - n] = self._last_token(raw, end - n, state, self.inner, self.inner_lengths, self.first)
+                    known = fits.get(left << 20 | t)
+                    if known or known is None and self._neighbours(left, t):
                         return t
         return single[raw[end - 1]]
 
     def _walk(self, words: Iterable[str]) -> None:
         """Depth-first over the trie of ``words``: sorted words visit its nodes in order, and
-        the stack of states is cut back to the prefix shared with the word before."""
+        the stack of states is cut back to the prefix shared with the word before.  A node's state is
+        found when it is first asked for and kept for all words below; a long word's, all in order."""
         ordered = sorted([(w.encode("utf-8"), w) for w in words])
         state, last_token, size, known = [0], self._last_token, self.size, self.words
-        inner, inner_lengths, first = self.inner, self.inner_lengths, self.first
-        final, final_lengths, last = self.final, self.final_lengths, self.last
+        inner = self.inner, self.inner_lengths, self.first
+        final = self.final, self.final_lengths, self.last
         for (raw, word), shared in zip(ordered, _shared([raw for raw, _ in ordered])):
             n = len(raw)
             shared = min(shared, n - 1, len(state) - 1)
-            del state[shared + 1:]
-            for end in range(shared + 1, n):
-                state.append(last_token(raw, end, state, inner, inner_lengths, first))
-            t = last_token(raw, n, state, final, final_lengths, last)
+            state[shared + 1:] = _UNKNOWN[:n - 1 - shared] if n < DEEP else [-1] * (n - 1 - shared)
+            if n >= DEEP:
+                for end in range(1, n):
+                    if state[end] < 0:
+                        state[end] = last_token(raw, end, state, *inner)
+            t = last_token(raw, n, state, *final)
             out, at = [t], n - size[t]
             while at > 0:
                 t = state[at]
+                if t < 0:
+                    t = state[at] = last_token(raw, at, state, *inner)
                 out.append(t)
                 at -= size[t]
             out.reverse()

@@ -30,6 +30,7 @@ from .common import stage_table
 
 #: Windows a task holds open; past it those that would be padded are completed by cutting.
 OPEN = 4096
+_CLOSED = 1 << 30
 SCHEMA = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()),
                     ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())])
 DDL = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -40,9 +41,13 @@ class Windows:
 
     def __init__(self, capacity: int, first_id: int, most: int = OPEN):
         self.capacity, self.next_id, self.most = capacity, first_id, most
-        self.level = np.zeros(capacity + 1, np.int64)               # open windows at each fill
-        self.counted = np.ones(capacity + 1, np.int64)              # fills that a window is padded at
-        self.counted[[0, capacity, *(1 << k for k in range(capacity.bit_length()) if 1 << k <= capacity)]] = 0
+        self.counted = [h for h in range(1, capacity) if h & (h - 1)]           # fills that a window is padded at
+        self.padded = set(self.counted)
+        self.level = [0] * (capacity + 1)                                       # open windows at each fill
+        # change of the sum of squares by one window more or less at a fill
+        self.more, self.less = np.zeros(capacity + 1, np.int32), np.full(capacity + 1, _CLOSED, np.int32)
+        self.more[self.counted] = 1
+        self.less[0] = 0
         self.held: list[list[list]] = [[] for _ in range(capacity + 1)]
         self.open = 0
         self.rows: list[tuple] = []
@@ -66,19 +71,25 @@ class Windows:
 
     def best_level(self, size: int) -> int:
         """The fill whose window the piece joins (0: a new one); ties go to the fullest."""
-        cost = self.counted * (2 * self.level + 1)                  # of one window more at a fill
-        gain = self.counted * (2 * self.level - 1)                  # of one window less
-        fits = np.flatnonzero(self.level[:self.capacity - size + 1])
-        fits = np.append(fits[::-1], 0)
-        return int(fits[np.argmin(cost[fits + size] - gain[fits])])
+        last = self.capacity - size
+        change = self.more[size:] + self.less[:last + 1]
+        return last - int(change[::-1].argmin())
+
+    def _count(self, fill: int, change: int) -> None:
+        n = self.level[fill] = self.level[fill] + change
+        self.open += change
+        if fill in self.padded:
+            self.more[fill] = 2 * n + 1
+            self.less[fill] = 1 - 2 * n if n else _CLOSED
+        else:
+            self.less[fill] = 0 if n else _CLOSED
 
     def _place(self, part: tuple) -> None:
         size = len(part[2]) // 4
         at = self.best_level(size)
         if at:
             pieces = self.held[at].pop()
-            self.level[at] -= 1
-            self.open -= 1
+            self._count(at, -1)
         else:
             pieces = []
         pieces.append(part)
@@ -86,8 +97,7 @@ class Windows:
             self._close(pieces)
             return
         self.held[at + size].append(pieces)
-        self.level[at + size] += 1
-        self.open += 1
+        self._count(at + size, 1)
         if self.open >= self.most:
             self.complete()
 
@@ -96,13 +106,13 @@ class Windows:
         loose: list[tuple] = []
         for fill in range(self.capacity, 0, -1):
             for pieces in self.held[fill]:
-                if self.counted[fill]:
+                if fill in self.padded:
                     loose += pieces
                 else:
                     self._close(pieces)
-            self.held[fill] = []
-        self.level[:] = 0
-        self.open = 0
+            if self.held[fill]:
+                self._count(fill, -len(self.held[fill]))
+                self.held[fill] = []
         left = sum(len(p[2]) for p in loose) // 4
         window: list[tuple] = []
         room = size = self._next_size(left)
