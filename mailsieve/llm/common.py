@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 import uuid
 
@@ -51,11 +53,22 @@ def remembered(owner, make):
     """What a worker process remembers between tasks for one operator; another operator's memory is
     let go first, so a worker that runs several stages holds one at a time."""
     if owner not in _held:
-        _held.clear()
+        if _held:
+            _held.clear()
+            _give_back()
         _held[owner] = make()
     return _held[owner]
 
 
+def _give_back() -> None:
+    """Return freed memory to the machine; the allocator of a long-lived worker would keep it."""
+    gc.collect()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):    # another C library
+        pass
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Finalise 64-bit hashes, so that every bit depends on all."""
     x = x ^ (x >> np.uint64(30))

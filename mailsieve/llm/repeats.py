@@ -20,7 +20,7 @@ from .common import partitions, remembered
 #: Document ids of a unit; a unit is one group in a task.
 UNIT = 1024
 #: Bytes of text that numpy works on at once (a longer document is taken alone).
-CHUNK = 2_000_000
+CHUNK = 500_000
 _STEP = np.uint64((1 << 48) - 1)
 
 
