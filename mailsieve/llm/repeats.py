@@ -20,7 +20,9 @@ from .common import partitions, remembered
 #: Document ids of a unit; a unit is one group in a task.
 UNIT = 1024
 #: Bytes of text that numpy works on at once (a longer document is taken alone).
-CHUNK = 500_000
+CHUNK = 250_000
+#: Buckets of the exchange for each shuffle partition; a bucket is one group in a task.
+BUCKETS = 4
 _STEP = np.uint64((1 << 48) - 1)
 
 
@@ -75,7 +77,7 @@ def shared(units: DataFrame, hashes: Callable[[list[bytes]], np.ndarray], first_
     ``hashes`` gives the distinct sorted hashes of a unit's texts.  With ``first_keeps`` only units
     after the first that holds a hash are answered; else all of them.
     """
-    buckets = partitions(units.sparkSession)
+    buckets = BUCKETS * partitions(units.sparkSession)
     borders = np.array([(b << 64) // buckets for b in range(1, buckets)], dtype=object).astype(np.uint64)
     sent = pa.schema([("bucket", pa.int32()), ("unit", pa.int64()), ("raw", pa.binary())])
 
@@ -94,6 +96,7 @@ def shared(units: DataFrame, hashes: Callable[[list[bytes]], np.ndarray], first_
         lists = [unpack(raw) for _, raw in rows]
         values = np.concatenate(lists)
         owner = np.repeat(np.arange(len(lists), dtype=np.int32), [len(x) for x in lists])
+        count, lists = len(lists), None
         order = np.argsort(values, kind="stable")        # units ascend within a value
         values, owner = values[order], owner[order]
         again = np.zeros(len(values), bool)
@@ -103,7 +106,7 @@ def shared(units: DataFrame, hashes: Callable[[list[bytes]], np.ndarray], first_
         values, owner = values[again], owner[again]
         order = np.argsort(owner, kind="stable")
         values, owner = values[order], owner[order]
-        ends = np.searchsorted(owner, np.arange(len(lists) + 1))
+        ends = np.searchsorted(owner, np.arange(count + 1))
         held = [(rows[k][0], pack(values[a:b])) for k, (a, b) in enumerate(zip(ends, ends[1:])) if b > a]
         return pa.table({"unit": pa.array([u for u, _ in held], pa.int64()),
                          "raw": pa.array([r for _, r in held], pa.binary())})
