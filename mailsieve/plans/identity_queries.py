@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import fixed_values as fv
 from ..functions import identity as ident
 from ..functions.base import among, explode_rows
-from ..operators import headers
+from ..operators import headers, lookalikes
 from . import oracle as o
 from .registry import query
 from .tables import letters, table, view
@@ -34,16 +34,48 @@ _LINK_HOSTS = """SELECT DISTINCT lower(regexp_extract(url, '^https?://([^/:?#]+)
 @query("lookalike_domains", "J1 F11", oracle="SELECT domain, brand FROM look",
        ctes=o.lookalike(_LINK_HOSTS))
 def lookalike_domains(spark, sf):
-    pages = table(spark, sf, "pages").select(
-        F.lower(F.regexp_extract("url", r"^https?://([^/:?#]+)", 1)).alias("domain"))
-    senders = view(spark, sf, "senders").select("domain")
-    log = view(spark, sf, "mail_log").select(
-        F.substring_index("from_addr", "@", -1).alias("domain"))
-    domains = pages.union(senders).union(log).distinct()
+    domains = _hosts(spark, sf)[1].distinct()
     return domains.withColumn("brand", ident.lookalike_brand("domain")) \
         .where(F.col("brand").isNotNull())
 
 
+def _hosts(spark, sf):
+    pages = table(spark, sf, "pages").select(
+        F.lower(F.regexp_extract("url", r"^https?://([^/:?#]+)", 1)).alias("domain"))
+    log = view(spark, sf, "mail_log").select(F.substring_index("from_addr", "@", -1).alias("domain"))
+    return pages, pages.union(view(spark, sf, "senders").select("domain")).union(log)
+
+
+@query("lookalike_catalogue", "J1 X2", ctes={
+    "page_hosts": "SELECT DISTINCT lower(regexp_extract(url, '^https?://([^/:?#]+)', 1)) AS domain FROM pages",
+    "brand_rows": "SELECT brand, min(pos) AS pos FROM (SELECT * FROM (VALUES "
+        + ", ".join(f"('{b}', {i})" for i, b in enumerate(fv.BRANDS)) + """) AS f(brand, pos)
+        UNION ALL SELECT split_part(domain, '.', 1), 1000 FROM page_hosts) z WHERE brand <> '' GROUP BY brand""",
+    "parts": o.lookalike(_LINK_HOSTS)["look_parts"],
+    "hits": f"""
+      SELECT p.domain, b.brand, CASE
+          WHEN p.label <> b.brand AND (p.folded = b.brand OR (length(b.brand) BETWEEN 5 AND 63
+              AND (levenshtein(p.label, b.brand) BETWEEN 1 AND 2 OR levenshtein(p.folded, b.brand) BETWEEN 1 AND 2))) THEN b.pos
+          WHEN length(b.brand) >= 6 AND b.brand <> 'square' AND (list_contains(p.words, b.brand)
+              OR list_contains(list_transform(p.words, lambda w: {o.fold("w")}), b.brand)) THEN 10000 + b.pos END AS place
+      FROM parts p CROSS JOIN brand_rows b
+      WHERE p.org NOT IN ({o.quoted(fv.BRAND_OWNED_DOMAINS)})
+        AND split_part(p.org, '.', 1) NOT IN (SELECT brand FROM brand_rows)"""}, oracle="""
+    SELECT z.domain, arg_min(h.brand, (h.place, h.brand)) FILTER (WHERE h.place IS NOT NULL) AS imitated, any_value(z.seen) AS seen
+    FROM (SELECT domain, count(*) AS seen FROM (
+            SELECT lower(regexp_extract(url, '^https?://([^/:?#]+)', 1)) AS domain FROM pages
+            UNION ALL SELECT domain FROM senders UNION ALL SELECT split_part(from_addr, '@', -1) FROM mail_log) a GROUP BY domain) z
+    LEFT JOIN hits h ON h.domain = z.domain GROUP BY z.domain""")
+def lookalike_catalogue(spark, sf):
+    """Brands as data: the fixed list, and behind it the leading label of every host that was crawled."""
+    pages, hosts = _hosts(spark, sf)
+    fixed = spark.createDataFrame([(b, i) for i, b in enumerate(fv.BRANDS)], "brand string, pos int")
+    crawled = pages.select(F.substring_index("domain", ".", 1).alias("brand"), F.lit(1000).alias("pos")).distinct()
+    owned = spark.createDataFrame([(d,) for d in fv.BRAND_OWNED_DOMAINS], "domain string")
+    seen = hosts.groupBy("domain").agg(F.count(F.lit(1)).alias("seen"))
+    return lookalikes.lookalikes(seen, fixed.union(crawled), owned)
+
+
 @query("host_membership", "J3 F6 F12", oracle=f"""
     SELECT msg_id, domain, {o.plausible("domain")} AS plausible,
            {o.reg("domain")} IN ({o.quoted(fv.FREE_MAIL_DOMAINS)}) AS free_mail,
