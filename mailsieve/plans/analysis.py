@@ -71,7 +71,8 @@ def analyse(messages: DataFrame, as_of, whois: DataFrame | None = None,
             dkim_results: DataFrame | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
     """Verdict per message.
 
-    ``whois``: registration snapshot.  ``history``: past mail (id, user_id, ts,
+    ``whois``: registration snapshot, or a log of answers with ``fetched`` (each message then sees the last
+    answer before its ``created_at``).  ``history``: past mail (id, user_id, ts,
     from_addr), which must include the analysed messages themselves under their id.
     ``dns`` and ``dkim_results``: record and signature snapshots; with both, SPF, DKIM and DMARC
     are evaluated independently and merged with the header claims.  ``keep``: further columns of
@@ -87,8 +88,9 @@ def analyse(messages: DataFrame, as_of, whois: DataFrame | None = None,
         d = with_verified_auth(d, dnsauth.verified_auth(claims, dns, dkim_results))
     factors = {}
     if whois is not None:
-        asked = explode_rows(narrow, "domains", "msg_id", pos="pos")
-        ages = durable(reputation.domain_ages(asked, whois, as_of))
+        asked = explode_rows(narrow, "domains", "msg_id", "created_at", pos="pos")
+        ages = durable(reputation.domain_ages_then(asked, whois) if "fetched" in whois.columns
+                       else reputation.domain_ages(asked, whois, as_of))
         known = ages.groupBy("msg_id").agg(
             F.bool_or(F.col("age_days").isNotNull()).alias("age_known"))
         d = d.join(reputation.age_signals(ages), "msg_id", "left").join(known, "msg_id", "left")

@@ -137,6 +137,34 @@ def domain_age_signals(spark, sf):
         .select("msg_id", "indicator", "strength", "weight")
 
 
+@query("age_at_arrival", "J4 A17 S15", ctes={
+    "asked": "SELECT e.event_id, s.domain, e.ts FROM events e JOIN senders s ON s.k = e.user_id % 16",
+    "answers": """
+      SELECT s.domain, e.ts, max(e.ts + CASE WHEN e.event_type <> 'error' THEN INTERVAL 604800 SECOND ELSE INTERVAL 3600 SECOND END) AS expires,
+             min(CASE WHEN e.event_type <> 'error' THEN DATE '2023-12-01' + CAST(floor(e.value) AS INTEGER) END) AS created
+      FROM events e JOIN senders s ON s.k = e.user_id % 16 WHERE e.event_type IN ('error', 'signup') GROUP BY ALL""",
+    "found": """
+      SELECT a.event_id, a.domain, a.ts, CASE WHEN v.expires > a.ts THEN v.created END AS created
+      FROM asked a ASOF LEFT JOIN answers v ON v.domain = a.domain AND v.ts <= a.ts""",
+    "timed": "SELECT *, CAST(floor((epoch_us(ts) - epoch_us(created::TIMESTAMP)) / 86400e6) AS INTEGER) AS days FROM found"}, oracle="""
+    SELECT event_id, domain, created, CASE WHEN days >= 0 THEN days END AS age_days,
+           CASE WHEN days IS NULL OR days < 0 THEN 'unknown' WHEN days < 30 THEN 'newly_registered'
+                WHEN days < 90 THEN 'young' ELSE 'established' END AS classification
+    FROM timed""")
+def age_at_arrival(spark, sf):
+    """Every event asks for a domain at its time; signups and errors are answers, good and failed."""
+    e = table(spark, sf, "events").withColumn("k", F.col("user_id") % 16) \
+        .join(F.broadcast(view(spark, sf, "senders").select("k", "domain")), "k")     # a fixed list
+    ok = F.col("event_type") != "error"
+    answers = e.where(F.col("event_type").isin("error", "signup")).select(
+        "domain", ok.alias("ok"), F.col("ts").alias("fetched"), F.lit("").alias("registrar"),
+        F.when(ok, F.date_add(F.lit("2023-12-01").cast("date"), F.floor("value").cast("int")).cast("string")).alias("created"))
+    asked = e.select(F.col("event_id").alias("msg_id"), F.lit(0).alias("pos"), "domain", F.lit("link").alias("origin"),
+                     F.lit(False).alias("exempt"), F.col("ts").alias("created_at"))
+    return reputation.domain_ages_then(asked, answers).select(
+        F.col("msg_id").alias("event_id"), "domain", "created", "age_days", "classification")
+
+
 @query("lookup_cache_expiry", "T4 S15", oracle="""
     SELECT event_id, domain, ok, CAST(expires AS TIMESTAMP) AS expires, CAST(expires AS TIMESTAMP) > asked AS usable FROM (
       SELECT e.event_id, s.domain, e.event_type <> 'error' AS ok,
