@@ -114,3 +114,17 @@ def test_rate_limit_stream_equals_batch(spark, tmp_path):
     assert len(got) == 25_600
     assert got == {r.event_id: r.allowed for r in ratelimit.limited(d, 50, 30.0).collect()}
     assert 0 < sum(got.values()) < len(got)
+
+
+def test_redelivered_messages_count_once(spark, tmp_path):
+    day = [[(k, f"{k}.eml", bytearray(b"m%d" % (k % 40))) for k in range(60)],
+           [(k + 100, f"{k}.eml", bytearray(b"m%d" % k)) for k in range(50)] + [(1, "x.eml", None), (2, "y.eml", None), (3, "z.eml", bytearray())]]
+    files = arrivals(spark, day, "msg_id long, path string, content binary", str(tmp_path / "in"))
+    from mailsieve.streaming.arrivals import first_deliveries, store_verdicts
+    for _ in range(2):     # the second run finds nothing new
+        store_verdicts(first_deliveries(files), str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
+    got = spark.read.parquet(str(tmp_path / "out")).collect()
+    held = [bytes(x.content) for x in got if x.content is not None]
+    assert sorted(held) == sorted([b"m%d" % k for k in range(50)] + [b""])
+    assert sum(x.content is None for x in got) == 2
+    assert {x.msg_id for x in got if x.content and int(x.content[1:]) >= 40} == set(range(140, 150))
