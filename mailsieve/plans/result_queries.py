@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import fixed_values as fv
 from ..functions import scores
 from ..functions.base import explode_rows
-from ..operators import evaluation, records, report, scoring
+from ..operators import evaluation, records, report, scoring, store
+from ..operators.scale import ensure_checkpoint_dir
 from ..sources import mime
 from . import oracle as o
 from .analysis import analyse, inspected
@@ -433,6 +436,28 @@ def record_lookup(spark, sf):
     return records.owned(_current(spark, sf), asked).select("id", "verdict")
 
 
+_LEFT = """
+    SELECT id, version, verdict FROM cur c WHERE NOT EXISTS (SELECT 1 FROM events e WHERE e.event_type = 'error'
+      AND concat('r', CAST(e.event_id AS STRING)) = c.id AND e.user_id - e.event_id % 2 = c.user_id)"""
+
+
+@query("compacted_records", "S13 J15", ctes=REC, oracle=_LEFT)
+def compacted_records(spark, sf):
+    """The log and the deletions arrive in three increments each, in no order of versions."""
+    ensure_checkpoint_dir(spark)
+    folder = f"{spark.sparkContext.getCheckpointDir()}/store-{uuid.uuid4().hex}"
+    log = view(spark, sf, "records_log")
+    gone = table(spark, sf, "events").where("event_type = 'error'").select(
+        F.concat(F.lit("r"), F.col("event_id").cast("string")).alias("id"),
+        (F.col("user_id") - F.col("event_id") % 2).alias("user_id"))
+    for name, rows, keys, version in (("log", log, ["id"], "version"), ("gone", gone, ["id", "user_id"], None)):
+        store.create(spark, f"{folder}/{name}")
+        for part in range(3):
+            store.upsert(rows.where(F.pmod(F.xxhash64(*rows.columns), F.lit(3)) == part), f"{folder}/{name}", keys, version)
+    return records.without_deleted(store.read(spark, f"{folder}/log", log.schema),
+                                   store.read(spark, f"{folder}/gone", gone.schema)).select("id", "version", "verdict")
+
+
 @query("record_deletion", "J15", ctes=REC, oracle="""
     SELECT id, verdict FROM cur c WHERE NOT EXISTS (SELECT 1 FROM events e WHERE e.event_type = 'error'
       AND concat('r', CAST(e.event_id AS STRING)) = c.id AND e.user_id - e.event_id % 2 = c.user_id)""")
