@@ -34,16 +34,18 @@ _LINK_HOSTS = """SELECT DISTINCT lower(regexp_extract(url, '^https?://([^/:?#]+)
 @query("lookalike_domains", "J1 F11", oracle="SELECT domain, brand FROM look",
        ctes=o.lookalike(_LINK_HOSTS))
 def lookalike_domains(spark, sf):
-    domains = _hosts(spark, sf)[1].distinct()
+    domains = _hosts(spark, sf)[1].select("domain").distinct()
     return domains.withColumn("brand", ident.lookalike_brand("domain")) \
         .where(F.col("brand").isNotNull())
 
 
 def _hosts(spark, sf):
+    """Pages (url, domain), and the same with senders behind them."""
     pages = table(spark, sf, "pages").select(
-        F.lower(F.regexp_extract("url", r"^https?://([^/:?#]+)", 1)).alias("domain"))
-    log = view(spark, sf, "mail_log").select(F.substring_index("from_addr", "@", -1).alias("domain"))
-    return pages, pages.union(view(spark, sf, "senders").select("domain")).union(log)
+        "url", F.lower(F.regexp_extract("url", r"^https?://([^/:?#]+)", 1)).alias("domain"))
+    none = F.lit(None).cast("string").alias("url")
+    log = view(spark, sf, "mail_log").select(none, F.substring_index("from_addr", "@", -1).alias("domain"))
+    return pages, pages.union(view(spark, sf, "senders").select(none, "domain")).union(log)
 
 
 @query("lookalike_catalogue", "J1 X2", ctes={
@@ -61,19 +63,19 @@ def _hosts(spark, sf):
       FROM parts p CROSS JOIN brand_rows b
       WHERE p.org NOT IN ({o.quoted(fv.BRAND_OWNED_DOMAINS)})
         AND split_part(p.org, '.', 1) NOT IN (SELECT brand FROM brand_rows)"""}, oracle="""
-    SELECT z.domain, arg_min(h.brand, (h.place, h.brand)) FILTER (WHERE h.place IS NOT NULL) AS imitated, any_value(z.seen) AS seen
-    FROM (SELECT domain, count(*) AS seen FROM (
-            SELECT lower(regexp_extract(url, '^https?://([^/:?#]+)', 1)) AS domain FROM pages
-            UNION ALL SELECT domain FROM senders UNION ALL SELECT split_part(from_addr, '@', -1) FROM mail_log) a GROUP BY domain) z
-    LEFT JOIN hits h ON h.domain = z.domain GROUP BY z.domain""")
+    SELECT z.url, z.domain, f.imitated FROM (
+      SELECT url, lower(regexp_extract(url, '^https?://([^/:?#]+)', 1)) AS domain FROM pages
+      UNION ALL SELECT NULL, domain FROM senders UNION ALL SELECT NULL, split_part(from_addr, '@', -1) FROM mail_log) z
+    LEFT JOIN (SELECT domain, arg_min(brand, (place, brand)) AS imitated FROM hits WHERE place IS NOT NULL GROUP BY domain) f
+      ON f.domain = z.domain""")
 def lookalike_catalogue(spark, sf):
-    """Brands as data: the fixed list, and behind it the leading label of every host that was crawled."""
+    """Every crawled page and sender against brands as data: the fixed list, and behind it the leading label of every
+    host that was crawled."""
     pages, hosts = _hosts(spark, sf)
     fixed = spark.createDataFrame([(b, i) for i, b in enumerate(fv.BRANDS)], "brand string, pos int")
     crawled = pages.select(F.substring_index("domain", ".", 1).alias("brand"), F.lit(1000).alias("pos")).distinct()
     owned = spark.createDataFrame([(d,) for d in fv.BRAND_OWNED_DOMAINS], "domain string")
-    seen = hosts.groupBy("domain").agg(F.count(F.lit(1)).alias("seen"))
-    return lookalikes.lookalikes(seen, fixed.union(crawled), owned)
+    return lookalikes.lookalikes(hosts, fixed.union(crawled), owned)
 
 
 @query("host_membership", "J3 F6 F12", oracle=f"""
