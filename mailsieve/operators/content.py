@@ -27,7 +27,7 @@ def phrase_hits(families=None) -> dict[str, Column]:
     ``families`` may replace the built-in rules; same shape as the fixed values.
     """
     out = {}
-    for family, _, _, _, patterns in families or fv.PHRASE_FAMILIES:
+    for family, _, _, _, patterns in fv.PHRASE_FAMILIES if families is None else families:
         out[family] = F.coalesce(*[
             first_phrase(words, pattern, ("match_text", "match_lower"),
                          ("subject_text", "subject_lower")) for words, pattern in patterns])
@@ -37,16 +37,21 @@ def phrase_hits(families=None) -> dict[str, Column]:
 def keyword_hits(words=None) -> Column:
     body, subject = F.col("match_lower"), F.col("subject_lower")
     return compact(*[F.when(F.contains(body, F.lit(w)) | F.contains(subject, F.lit(w)), F.lit(w))
-                     for w in words or fv.SUSPICIOUS_KEYWORDS])
+                     for w in (fv.SUSPICIOUS_KEYWORDS if words is None else words)])
+
+
+def keyword_signal(keywords=None) -> Column:
+    """Signal of the keywords found, or NULL."""
+    found = keyword_hits(keywords)
+    name, weight, strength = fv.KEYWORD_INDICATOR
+    return F.when(F.size(found) > 0, signal(name, weight, strength, F.array_join(found, ", "), FAMILY))
 
 
 def content_signals(families=None, keywords=None) -> Column:
     """Signals of the wording rules.  Expects :func:`with_match_text` columns."""
-    hits, found = phrase_hits(families), keyword_hits(keywords)
-    name, weight, strength = fv.KEYWORD_INDICATOR
-    signals = [F.when(F.size(found) > 0, signal(name, weight, strength,
-                                                F.array_join(found, ", "), FAMILY))]
-    for family, indicator, w, s, _ in families or fv.PHRASE_FAMILIES:
+    hits = phrase_hits(families)
+    signals = [keyword_signal(keywords)]
+    for family, indicator, w, s, _ in fv.PHRASE_FAMILIES if families is None else families:
         signals.append(F.when(hits[family].isNotNull(),
                               signal(indicator, w, s, hits[family], FAMILY)))
     return compact(*signals)

@@ -15,7 +15,7 @@ from ..functions import identity as ident
 from ..functions.base import explode_rows
 from ..functions.scores import SIGNALS
 from ..operators import (attachments, auth, baseline, content, dnsauth, headers, html, links, reputation,
-                         routing, scoring)
+                         routing, scoring, wording)
 from ..operators.scale import durable
 
 
@@ -33,8 +33,9 @@ def inspected(messages: DataFrame, as_of) -> DataFrame:
     return scoring.with_trust(d)
 
 
-def message_signals(d: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
-    """Narrow result of stage one: signal groups, domains and facts per message."""
+def message_signals(d: DataFrame, keep: tuple[str, ...] = (), families=None, keywords=None) -> DataFrame:
+    """Narrow result of stage one: signal groups, domains and facts per message.  ``families`` and
+    ``keywords`` may replace the built-in wording rules."""
     return d.select(
         "msg_id", "user_id", "created_at", "from_addr", "from_domain", "trusted_sender",
         headers.diverted(d).alias("diverted"),
@@ -43,7 +44,7 @@ def message_signals(d: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
         (F.col("body_html") != "").alias("has_html"),
         links.link_signals().alias("s_links"),
         headers.identity_signals().alias("s_identity"),
-        content.content_signals().alias("s_content"),
+        content.content_signals(families, keywords).alias("s_content"),
         auth.auth_signals().alias("s_auth"),
         headers.header_signals().alias("s_header"),
         routing.routing_signals().alias("s_routing"),
@@ -68,7 +69,8 @@ def with_verified_auth(narrow: DataFrame, checked: DataFrame) -> DataFrame:
 
 def analyse(messages: DataFrame, as_of, whois: DataFrame | None = None,
             history: DataFrame | None = None, dns: DataFrame | None = None,
-            dkim_results: DataFrame | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+            dkim_results: DataFrame | None = None, keep: tuple[str, ...] = (),
+            rules: DataFrame | None = None, keywords: list[str] | None = None) -> DataFrame:
     """Verdict per message.
 
     ``whois``: registration snapshot, or a log of answers with ``fetched`` (each message then sees the last
@@ -76,13 +78,20 @@ def analyse(messages: DataFrame, as_of, whois: DataFrame | None = None,
     from_addr), which must include the analysed messages themselves under their id.
     ``dns`` and ``dkim_results``: record and signature snapshots; with both, SPF, DKIM and DMARC
     are evaluated independently and merged with the header claims.  ``keep``: further columns of
-    the messages to carry into the verdict rows.
+    the messages to carry into the verdict rows.  ``rules``: wording rules of a caller's own
+    (``operators.wording.RULES``) in place of the built-in phrases, found in a pass of their own over subjects
+    and bodies; ``keywords`` likewise replace the built-in keywords, and an empty list turns them off.
     """
-    narrow = message_signals(inspected(messages, as_of), keep)
+    narrow = message_signals(inspected(messages, as_of), keep, None if rules is None else [], keywords)
     verify = dns is not None and dkim_results is not None
-    if whois is not None or history is not None or verify:
+    if whois is not None or history is not None or verify or rules is not None:
         narrow = durable(narrow)
     d = narrow
+    if rules is not None:
+        texts = content.with_match_text(messages.select("msg_id", "subject", "body_plain", "body_html"))
+        hits = durable(wording.with_wording_hits(texts, rules).select("msg_id", wording.wording_signals().alias("_wording")))
+        d = d.join(hits, "msg_id", "left").withColumn("s_content", F.concat(
+            "s_content", F.coalesce("_wording", F.expr(f"cast(array() as {SIGNALS})")))).drop("_wording")
     if verify:
         claims = auth.with_header_auth(headers.with_identity(messages))
         d = with_verified_auth(d, dnsauth.verified_auth(claims, dns, dkim_results))

@@ -9,7 +9,7 @@ from ..functions import fixed_values as fv
 from ..functions import scores
 from ..functions.base import explode_rows
 from ..functions.text import decode_entities, normalise
-from ..operators import auth, content, headers, routing, scoring
+from ..operators import auth, content, headers, routing, scoring, wording
 from . import oracle as o
 from .registry import query
 from .tables import letters, table, view
@@ -141,6 +141,42 @@ def phrase_families(spark, sf):
         .select("msg_id", "indicator", "weight", "strength", "evidence")
 
 
+_FIXED_RULES = ", ".join(
+    f"('{family}', '{indicator}', {weight}, '{strength}', {100 * n + i}, '{pattern}')"
+    for n, (family, indicator, weight, strength, patterns) in enumerate(fv.PHRASE_FAMILIES)
+    for i, (_, pattern) in enumerate(patterns))
+
+
+@query("phrase_rules", "P52 X2", ctes={
+    "sentences": """
+        SELECT item_id, generate_subscripts(parts, 1) AS place, unnest(parts) AS sentence FROM (
+          SELECT item_id, string_split(text, '.') AS parts FROM benchmark) z""",
+    "rule_rows": f"""
+        SELECT * FROM (VALUES {_FIXED_RULES}) AS f(family, indicator, weight, strength, pos, pattern)
+        UNION ALL SELECT concat('item ', CAST(item_id AS VARCHAR)), 'Known passage', 5, 'weak', 100000 + place - 1,
+          regexp_replace(trim(sentence, concat(' ', chr(10))), '\\s+', '\\\\s+', 'g') FROM sentences
+        WHERE length(trim(sentence, concat(' ', chr(10)))) >= 12""",
+    "hits": """
+        SELECT m.msg_id, r.*, coalesce(nullif(regexp_extract(m.body_plain, concat('(?i)', r.pattern), 0), ''),
+          nullif(regexp_extract(m.subject, concat('(?i)', r.pattern), 0), '')) AS evidence
+        FROM mail m CROSS JOIN rule_rows r"""}, oracle="""
+    SELECT msg_id, family, indicator, weight, strength, evidence FROM (
+      SELECT *, row_number() OVER (PARTITION BY msg_id, family ORDER BY pos) AS rn FROM hits WHERE evidence IS NOT NULL) z
+    WHERE rn = 1""")
+def phrase_rules(spark, sf):
+    """Every message against rules of a table: the built-in ones and each sentence of the known passages."""
+    sentences = table(spark, sf, "benchmark").select("item_id", F.posexplode(F.split("text", r"\.")).alias("place", "sentence")) \
+        .withColumn("sentence", F.btrim("sentence", F.lit(" \n"))).where(F.length("sentence") >= 12)
+    known = sentences.select(
+        F.concat(F.lit("item "), "item_id").alias("family"), F.lit("Known passage").alias("indicator"),
+        F.lit(5).alias("weight"), F.lit("weak").alias("strength"), (F.lit(100000) + F.col("place")).alias("pos"),
+        F.regexp_extract_all("sentence", F.lit(r"(?U)\w+"), F.lit(0)).alias("words"),
+        F.regexp_replace("sentence", r"\s+", r"\\s+").alias("pattern"))
+    d = content.with_match_text(mail_messages(spark, sf))
+    hits = wording.with_wording_hits(d, wording.fixed_rules(spark).unionByName(known)).select("msg_id", "wording_hits")
+    return explode_rows(hits, "wording_hits", "msg_id")
+
+
 @query("trusted_senders", "P56", ctes=_MAIL, oracle="SELECT msg_id, trusted FROM trusted")
 def trusted_senders(spark, sf):
     d = scoring.with_trust(headers.with_identity(mail_messages(spark, sf)))
