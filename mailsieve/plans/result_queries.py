@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 from pyspark.sql import functions as F
 
 from ..functions import fixed_values as fv
 from ..functions import scores
 from ..functions.base import explode_rows
-from ..operators import evaluation, records, report, scoring, store
-from ..operators.scale import ensure_checkpoint_dir
+from ..operators import evaluation, records, report, scoring, search, store
+from ..operators.scale import durable, ensure_checkpoint_dir
 from ..sources import mime
 from . import oracle as o
 from .analysis import analyse, inspected
@@ -458,6 +459,23 @@ def compacted_records(spark, sf):
                                    store.read(spark, f"{folder}/gone", gone.schema)).select("id", "version", "verdict")
 
 
+_TERMS = ["account", "1 (", "(SRC3", "harbor.com", "stripe%com", "z", "no such words"]
+
+
+@query("indexed_search", "P66", ctes=REC, oracle=" UNION ALL ".join(f"""
+    SELECT '{term}' AS term, id, verdict FROM cur WHERE filename ILIKE '%{term}%'
+      OR json_extract_string(finding_json, '$.subject') ILIKE '%{term}%'
+      OR json_extract_string(finding_json, '$.from_addr') ILIKE '%{term}%'""" for term in _TERMS))
+def indexed_search(spark, sf):
+    """All stored records are indexed once; each term then reads its own postings and the rows they name."""
+    ensure_checkpoint_dir(spark)
+    folder = f"{spark.sparkContext.getCheckpointDir()}/index-{uuid.uuid4().hex}"
+    current = durable(_current(spark, sf))
+    search.build(current, folder)
+    found = [search.search(spark, folder, current.schema, term).select(F.lit(term).alias("term"), "id", "verdict") for term in _TERMS]
+    return reduce(lambda a, b: a.unionByName(b), found)
+
+
 @query("record_deletion", "J15", ctes=REC, oracle="""
     SELECT id, verdict FROM cur c WHERE NOT EXISTS (SELECT 1 FROM events e WHERE e.event_type = 'error'
       AND concat('r', CAST(e.event_id AS STRING)) = c.id AND e.user_id - e.event_id % 2 = c.user_id)""")
