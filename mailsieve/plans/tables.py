@@ -10,6 +10,12 @@ from pyspark.sql import functions as F
 
 from .views import TABLES, VIEWS, needed
 
+#: Messages of one partition of the mail views.  Rules cost time by message, not by byte, so partitions are
+#: not sized by bytes.
+MESSAGES = 8192
+#: Tables that the mail views join, and the keys they are joined by.
+_MAIL_KEYS = {"documents": "doc_id", "events": "event_id", "pages": "page_id"}
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.table(_registered(spark, sf_dir, name))
@@ -31,12 +37,29 @@ def _spread(spark: SparkSession, path: str) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
+def _dealt(spark: SparkSession, sf_dir: str, name: str) -> str:
+    """Temporary view over a table of the mail views, dealt by its key to a number of partitions that grows
+    with the messages.
+
+    All sides of the joins are dealt alike, so their rows are spread evenly whichever side is broadcast and wherever
+    the ids of the messages lie in the files; a fixed number is not merged again because the columns read are narrow.
+    """
+    alias = f"{_registered(spark, sf_dir, name)}__dealt"
+    if not spark.catalog.tableExists(alias):
+        messages = table(spark, sf_dir, "documents").count()
+        many = max(-(-messages // MESSAGES), spark.sparkContext.defaultParallelism)
+        table(spark, sf_dir, name).repartition(many, _MAIL_KEYS[name]).createOrReplaceTempView(alias)
+    return alias
+
+
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One derived view, as a plan over the parquet tables."""
     names = needed(f"SELECT * FROM {name}")
     sources = " ".join(VIEWS[n] for n in names)
     read = [t for t in TABLES if re.search(rf"(?:FROM|JOIN) {t}\b", sources)]
-    ctes = [f"{t} AS (SELECT * FROM {_registered(spark, sf_dir, t)})" for t in read]
+    heavy = "mail" in names or name == "attachments"
+    ctes = [f"{t} AS (SELECT * FROM {(_dealt if heavy and t in _MAIL_KEYS else _registered)(spark, sf_dir, t)})"
+            for t in read]
     ctes += [f"{n} AS ({VIEWS[n]})" for n in names]
     return spark.sql(f"WITH {', '.join(ctes)} SELECT * FROM {name}")
 
