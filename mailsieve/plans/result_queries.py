@@ -14,7 +14,7 @@ from ..operators import evaluation, records, report, scoring, search, store
 from ..operators.scale import durable, ensure_checkpoint_dir
 from ..sources import mime
 from . import oracle as o
-from .analysis import analyse, inspected
+from .analysis import analyse, inspected, message_signals
 from .body_queries import ATTACH_CTES, HTML_CTES, LINK_CTES
 from .identity_queries import HEADER_CTES, HEADER_SIGNALS
 from .lookup_queries import AGE_CTES, baseline_sql
@@ -185,12 +185,12 @@ FULL_CTES = {
 }
 
 
-def full_analysis(spark, sf):
+def full_analysis(spark, sf, narrow=None):
     d = letters(spark, sf)
     log = view(spark, sf, "letters").select(
         F.col("msg_id").alias("id"), "user_id", F.col("created_at").alias("ts"),
         _address("from_raw").alias("from_addr"))
-    return analyse(d, AS_OF, whois=view(spark, sf, "whois"), history=log)
+    return analyse(d, AS_OF, whois=view(spark, sf, "whois"), history=log, narrow=narrow)
 
 
 def _address(column):
@@ -286,9 +286,11 @@ def recommended_steps(spark, sf):
     UNION ALL SELECT msg_id, 'url', host FROM k_link_findings WHERE len(findings) > 0
     UNION ALL SELECT DISTINCT msg_id, 'attachment', filename FROM a_reasons""")
 def evidence_with_signals(spark, sf):
-    """The whole log, the scored signals included."""
-    scored = full_analysis(spark, sf).select("msg_id", "signals")
-    return report.evidence_log(inspected(letters(spark, sf), AS_OF).join(scored, "msg_id")) \
+    """The whole log, the scored signals included.  Messages are inspected once, for their findings and their score."""
+    found = ("header_findings", "html_findings", "links", "attachments")
+    seen = durable(message_signals(inspected(letters(spark, sf), AS_OF), found))
+    scored = full_analysis(spark, sf, seen.drop(*found)).select("msg_id", "signals")
+    return report.evidence_log(seen.select("msg_id", *found).join(scored, "msg_id")) \
         .select("msg_id", "category", "title")
 
 
