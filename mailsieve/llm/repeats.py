@@ -34,22 +34,30 @@ def with_units(docs: DataFrame) -> DataFrame:
 
 
 def pack(values: np.ndarray) -> bytes:
-    """Sorted distinct 64-bit values as gaps of six bytes; a wider gap takes filler steps."""
-    gaps = np.diff(values, prepend=np.uint64(0))
+    """Sorted distinct 64-bit values: the first whole, then gaps of six bytes; a wider gap takes filler steps.
+
+    The values of a high bucket would else begin with tens of thousands of steps.
+    """
+    gaps = np.diff(values)
     fill = (gaps // _STEP).astype(np.int64)
     if fill.any():
         out = np.full(int(fill.sum()) + len(gaps), _STEP)
         out[np.cumsum(fill + 1) - 1] = gaps % _STEP
         gaps = out
-    return gaps.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+    return values[:1].astype("<u8").tobytes() + gaps.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
 
 
 def unpack(raw: bytes) -> np.ndarray:
-    six = np.frombuffer(raw, np.uint8).reshape(-1, 6)
-    gaps = np.zeros((len(six), 8), np.uint8)
-    gaps[:, :6] = six
+    if not raw:
+        return np.zeros(0, np.uint64)
+    six = np.frombuffer(raw, np.uint8, offset=8).reshape(-1, 6)
+    gaps = np.zeros((len(six) + 1, 8), np.uint8)
+    gaps[0] = np.frombuffer(raw, np.uint8, 8)
+    gaps[1:, :6] = six
     gaps = gaps.view("<u8").ravel()
-    return np.cumsum(gaps, dtype=np.uint64)[gaps != _STEP]
+    real = gaps != _STEP
+    real[0] = True
+    return np.cumsum(gaps, dtype=np.uint64)[real]
 
 
 def sorted_docs(group: pa.Table) -> tuple[list[int], list[bytes]]:

@@ -90,3 +90,13 @@ def test_gaps_of_any_size():
 def test_covers_hold_every_difference(period):
     cover = suffixes.COVERS[period]
     assert {(a - b) % period for a in cover for b in cover} == set(range(period))
+
+
+def test_a_high_bucket_packs_no_more_than_its_values():
+    border = np.uint64(0xFF00000000000000)
+    some = border + np.arange(1, 1001, dtype=np.uint64) * np.uint64(1 << 40)
+    assert (repeats.unpack(repeats.pack(some)) == some).all()
+    assert len(repeats.pack(some)) <= 8 * len(some)
+    edges = np.array([(1 << 48) - 1, (1 << 48), (1 << 49) - 1, (1 << 64) - 1], np.uint64)
+    assert (repeats.unpack(repeats.pack(edges)) == edges).all()
+    assert (repeats.unpack(repeats.pack(edges[:1])) == edges[:1]).all()
