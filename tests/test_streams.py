@@ -81,6 +81,44 @@ def test_a_long_mailbox_keeps_a_short_list():
         (-1, 10, 0, 0), (996, 10, 9, 1), (997, 10, 9, 1), (998, 10, 9, 1), (999, 10, 9, 1)]
 
 
+def test_a_mailbox_is_kept_in_blocks():
+    """Late, repeated and ordered batches give the facts of all messages at once; the state has few entries."""
+    class Held:
+        rows, read = [], 0
+
+        def getListState(self, *_):
+            return self
+
+        def exists(self):
+            return bool(self.rows)
+
+        def get(self):
+            self.read += len(self.rows)
+            return iter(self.rows)
+
+        def put(self, rows):
+            self.rows = list(rows)
+
+    def facts_of(batches):
+        held, handler, found = Held(), baseline._handler(80, 2, 10**9, None), {}
+        handler.init(held)
+        for batch in batches:
+            for r in handler.handleInputRows((1,), iter(batch), None):
+                assert r.id not in found or r.revision > found[r.id].revision
+                found[r.id] = r
+        return held, {i: r[:-1] for i, r in found.items()}
+
+    r = random.Random(7)
+    rows = [Row(us=t // 2, id=t, from_addr=f"p{r.randrange(9)}@d{t % 5}.c", from_org=f"d{t % 5}.c") for t in range(3000)]
+    slices = [rows[900:1500], rows[:700], rows[2000:], rows[1500:2000] + rows[1450:1600], rows[700:900], rows[700:900]]
+    for batch in slices:
+        r.shuffle(batch)
+    _, want = facts_of([rows])
+    held, got = facts_of(slices)
+    assert got == want and len(got) == 3000
+    assert len(held.rows) <= 3000 // 10 + 1 and held.read <= 3000
+
+
 def test_idle_buckets_vanish(spark, tmp_path):
     """Buckets are dropped once full again; decisions equal the batch's."""
     rows = [(100 * u + k, u, 60 * u + 5 * k) for u in range(30) for k in range(8)]
