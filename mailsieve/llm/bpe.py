@@ -13,6 +13,7 @@ Vocabulary and rules come from a public tokenizer file; its path is a parameter.
 from __future__ import annotations
 
 import functools
+import gc
 import hashlib
 import json
 import re
@@ -160,20 +161,26 @@ class TrieEncoder:
 
     def _last_token(self, raw: bytes, end: int, state: list[int], tokens, lengths, single) -> int:
         """Last token of the encoding of ``raw[:end]``, from the states of the prefixes it asks for."""
-        fits = self.fits
+        known_fits = self.fits.get
         ends = lengths.get(raw[end - 4:end]) if end > 3 else None
         for n in ends or lengths.get(raw[end - 3:end] if end > 2 else raw[:end]) or (2,):
-            if n <= end:
-                t = tokens.get(raw[end - n:end])
+            at = end - n
+            if at > 0:
+                t = tokens.get(raw[at:end])
                 if t is not None:
-                    if n == end:
-                        return t
-                    left = state[end - n]
+                    left = state[at]
                     if left < 0:
-                        left = state[end - n] = self._last_token(raw, end - n, state, self.inner, self.inner_lengths, self.first)
-                    known = fits.get(left << 20 | t)
+                        if at == 1:
+                            left = state[1] = self.first[raw[0]]
+                        else:
+                            left = state[at] = self._last_token(raw, at, state, self.inner, self.inner_lengths, self.first)
+                    known = known_fits(left << 20 | t)
                     if known or known is None and self._neighbours(left, t):
                         return t
+            elif not at:
+                t = tokens.get(raw[:end])
+                if t is not None:
+                    return t
         return single[raw[end - 1]]
 
     def _walk(self, words: Iterable[str]) -> None:
@@ -266,12 +273,18 @@ class TrieEncoder:
             while end < len(texts) and (end == start or chars + len(texts[end]) <= BATCH_CHARS):
                 chars += len(texts[end])
                 end += 1
-            split = [self._pieces(t) for t in texts[start:end]]
-            words = set().union(*split)
-            control = [w for w in words if isinstance(w, int)] if self.specials else ()
-            self._learn(words.difference(control))
-            for i in control:
-                self.words[i] = array("I", [i]).tobytes()
+            collects = gc.isenabled()
+            gc.disable()               # millions of words are made and none refers back; looking through them costs time
+            try:
+                split = [self._pieces(t) for t in texts[start:end]]
+                words = set().union(*split)
+                control = [w for w in words if isinstance(w, int)] if self.specials else ()
+                self._learn(words.difference(control))
+                for i in control:
+                    self.words[i] = array("I", [i]).tobytes()
+            finally:
+                if collects:
+                    gc.enable()
             known = self.words.__getitem__
             for pieces in split:
                 yield b"".join(map(known, pieces))

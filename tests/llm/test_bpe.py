@@ -1,3 +1,4 @@
+import gc
 import hashlib
 from array import array
 
@@ -41,3 +42,17 @@ def test_memory_may_be_emptied(monkeypatch):
 
 def test_empty_table(empty):
     assert bpe.encode_decode(empty, bpe.default_vocabulary()).count() == 0
+
+
+def test_words_are_learnt_without_collecting_between(monkeypatch):
+    """Garbage collection rests while a batch is split and learnt, and goes on as it was."""
+    enc, seen, learn = bpe.TrieEncoder(bpe.default_vocabulary()), [], bpe.TrieEncoder._learn
+    monkeypatch.setattr(bpe.TrieEncoder, "_learn", lambda self, c: seen.append(gc.isenabled()) or learn(self, c))
+    assert len(list(enc.encode_many(["some words, and more"]))) == 1
+    assert seen == [False] and gc.isenabled()
+    gc.disable()
+    try:
+        list(enc.encode_many(["others"]))
+        assert not gc.isenabled()
+    finally:
+        gc.enable()
