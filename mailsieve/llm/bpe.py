@@ -24,6 +24,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from .common import remembered
@@ -32,7 +33,7 @@ from .common import remembered
 #: and 200 for objects).  Past half of it the words are set aside; those met again come back, the others go next time.
 KEPT_BYTES = 192 << 20
 #: Characters of text taken together; bounds the words in memory, not what is read.
-BATCH_CHARS = 4_000_000
+BATCH_CHARS = 8_000_000
 #: Words of so many bytes have their states found in order, so that asking for one never goes deep.
 DEEP = 256
 _UNKNOWN = [-1] * DEEP
@@ -187,28 +188,39 @@ class TrieEncoder:
         """Depth-first over the trie of ``words``: sorted words visit its nodes in order, and
         the stack of states is cut back to the prefix shared with the word before.  A node's state is
         found when it is first asked for and kept for all words below; a long word's, all in order."""
-        ordered = sorted([(w.encode("utf-8"), w) for w in words])
-        state, last_token, size, known = [0], self._last_token, self.size, self.words
+        ordered = sorted(words)                                # by code points, which is the order of their bytes
+        raws = list(map(str.encode, ordered))
+        state, last_token, size = [0], self._last_token, self.size
         inner = self.inner, self.inner_lengths, self.first
         final = self.final, self.final_lengths, self.last
-        for (raw, word), shared in zip(ordered, _shared([raw for raw, _ in ordered])):
+        found, ends = [], []                                   # all ids, each word's from its end; where each word's ids end
+        add = found.append
+        for raw, shared in zip(raws, _shared(raws)):
             n = len(raw)
-            shared = min(shared, n - 1, len(state) - 1)
-            state[shared + 1:] = _UNKNOWN[:n - 1 - shared] if n < DEEP else [-1] * (n - 1 - shared)
+            known = len(state) - 1
+            if shared < known:
+                known = shared
+            if n <= known:
+                known = n - 1
+            state[known + 1:] = _UNKNOWN[known + 1:n] if n < DEEP else [-1] * (n - 1 - known)
             if n >= DEEP:
                 for end in range(1, n):
                     if state[end] < 0:
                         state[end] = last_token(raw, end, state, *inner)
             t = last_token(raw, n, state, *final)
-            out, at = [t], n - size[t]
+            add(t)
+            at = n - size[t]
             while at > 0:
                 t = state[at]
                 if t < 0:
                     t = state[at] = last_token(raw, at, state, *inner)
-                out.append(t)
+                add(t)
                 at -= size[t]
-            out.reverse()
-            known[word] = array("I", out).tobytes()
+            ends.append(len(found))
+        ids = array("I", found)
+        ids.reverse()
+        laid, whole = ids.tobytes(), 4 * len(found)
+        self.words.update([(w, laid[whole - 4 * b:whole - 4 * a]) for w, a, b in zip(ordered, [0, *ends], ends)])
 
     # -- texts --------------------------------------------------------------------
     #: What the vocabulary's splitter takes for text and str.split() for white space.
@@ -219,12 +231,18 @@ class TrieEncoder:
         from tokenizers import Tokenizer
         return Tokenizer.from_file(self.path)
 
-    def _split(self, text: str) -> list[str]:
-        """White-space chunks of a plain text; of any other, the splitter's own words."""
+    def _plain(self, text: str) -> str | None:
+        """A text as the splitter sees it, if white space is all that its chunks must be cut at."""
         if text.isascii() or self.beyond.search(text) is None:
             plain = unicodedata.normalize("NFC", text)
             if not self.ODD_SPACE.search(plain) and (plain.isascii() or self.beyond.search(plain) is None):
-                return plain.replace("Σ", "σ").lower().split()
+                return plain.replace("Σ", "σ").lower()
+        return None
+
+    def _split(self, text: str) -> list[str]:
+        """White-space chunks of a plain text; of any other, the splitter's own words."""
+        if (plain := self._plain(text)) is not None:
+            return plain.split()
         found = self._library.pre_tokenizer.pre_tokenize_str(self._library.normalizer.normalize_str(text))
         back = _back()
         return [bytes(back[c] for c in piece).decode("utf-8") for piece, _ in found]
@@ -241,29 +259,66 @@ class TrieEncoder:
                 out += self._split(part)
         return out
 
-    def _recall(self, chunks: set[str]) -> set[str]:
-        """Chunks that are not known; those set aside come back."""
-        new = chunks.difference(self.words)
-        again = new.intersection(self.aside)
-        self.words.update(zip(again, map(self.aside.__getitem__, again)))
-        self.letters += sum(map(len, new))
-        return new.difference(again)
-
-    def _learn(self, chunks: set[str]) -> None:
-        """Encode new chunks; no word of the splitter reaches over white space, so a chunk's
-        ids are those of its words, one after another."""
+    def _recall(self, chunks: list[str]) -> tuple[list[bytes | None], list[str]]:
+        """What is known of distinct chunks, each looked up once, and those that are not known; chunks set aside come back."""
+        found = list(map(self.words.get, chunks))
+        at = [k for k, ids in enumerate(found) if ids is None]
+        if not at:
+            return found, []
+        missed = [chunks[k] for k in at]
+        self.letters += sum(map(len, missed))
+        if self.aside:
+            new = []
+            for k, c, ids in zip(at, missed, map(self.aside.get, missed)):
+                if ids is None:
+                    new.append(c)
+                else:
+                    found[k] = self.words[c] = ids
+            missed = new
+        return found, missed
+
+    def _learn(self, chunks: list[str]) -> list[bytes]:
+        """Ids of distinct chunks, new ones encoded; no word of the splitter reaches over white space, so a
+        chunk's ids are those of its words, one after another."""
         if 200 * len(self.words) + 4 * self.letters > KEPT_BYTES // 2:
             self.aside, self.words, self.letters = self.words, {}, 0
         plain, beyond, cut, whole = self.plain.findall, self.beyond.search, [], []
-        for c in self._recall(chunks):
+        found, new = self._recall(chunks)
+        for c in new:
             if not c.isalpha() and (c.isascii() or beyond(c) is None) and (w := plain(c)) != [c]:
                 cut.append((c, w))
             else:
                 whole.append(c)
         self._walk(whole)
-        self._walk(self._recall(set().union(*[w for _, w in cut])))
+        self._walk(self._recall(list(set().union(*[w for _, w in cut])))[1])
         known = self.words.__getitem__
         self.words.update([(c, b"".join(map(known, w))) for c, w in cut])
+        if new:
+            found = [known(c) if ids is None else ids for c, ids in zip(chunks, found)]
+        return found
+
+    def _encode_plain(self, texts: list[str], others: set[str]) -> Iterator[bytes]:
+        """Ids of texts that only white space cuts; ``others`` are learnt with them.
+
+        Each chunk is numbered, so a distinct one is looked up once however often it stands there; the
+        ids of all texts are then taken from those of the distinct chunks in one go.
+        """
+        lists = pc.utf8_split_whitespace(pa.array(texts, pa.large_string()))
+        chunks = lists.values.dictionary_encode()
+        distinct = chunks.dictionary.to_numpy(zero_copy_only=False).tolist()
+        known = self._learn(distinct + list(others.difference(distinct)) if others else distinct)[:len(distinct)]
+        number, border = chunks.indices.to_numpy(), lists.offsets.to_numpy()
+        del lists, chunks, distinct
+        sizes = np.fromiter(map(len, known), np.int64, len(known)) // 4
+        starts = np.cumsum(sizes) - sizes
+        laid = np.frombuffer(b"".join(known), "<u4")
+        many = sizes[number]
+        ends = np.concatenate([[0], np.cumsum(many)])          # ids before each chunk of the texts
+        kind = np.int32 if ends[-1] < 1 << 31 else np.int64    # no more ids are laid than stand in the texts
+        places = np.repeat((starts[number] - ends[:-1]).astype(kind), many)
+        places += np.arange(len(places), dtype=kind)
+        ids, border = laid[places].tobytes(), (4 * ends[border]).tolist()
+        return (ids[a:b] for a, b in zip(border, border[1:]))
 
     def encode_many(self, texts: list[str]) -> Iterator[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
@@ -274,20 +329,21 @@ class TrieEncoder:
                 chars += len(texts[end])
                 end += 1
             collects = gc.isenabled()
-            gc.disable()               # millions of words are made and none refers back; looking through them costs time
+            gc.disable()               # very many words are made and none refers back; looking through them costs time
             try:
-                split = [self._pieces(t) for t in texts[start:end]]
-                words = set().union(*split)
+                split = [self._plain(t) if self.specials is None or "<" not in t else None for t in texts[start:end]]
+                odd = [self._pieces(t) for t, plain in zip(texts[start:end], split) if plain is None]
+                words = set().union(*odd)
                 control = [w for w in words if isinstance(w, int)] if self.specials else ()
-                self._learn(words.difference(control))
+                plain = self._encode_plain([t for t in split if t is not None], words.difference(control))
                 for i in control:
                     self.words[i] = array("I", [i]).tobytes()
             finally:
                 if collects:
                     gc.enable()
-            known = self.words.__getitem__
-            for pieces in split:
-                yield b"".join(map(known, pieces))
+            known, odd = self.words.__getitem__, iter(odd)
+            for t in split:
+                yield next(plain) if t is not None else b"".join(map(known, next(odd)))
             start = end
 
     def decode(self, ids: Iterable[int]) -> str:

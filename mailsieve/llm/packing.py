@@ -42,7 +42,7 @@ def pieces(docs: DataFrame, path: str, capacity: int, end_id: int) -> DataFrame:
     end = array("I", [end_id]).tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, step = bpe.encoder(path), 1000
+        enc, step = bpe.encoder(path), 2000
         for batch in batches:
             for at in range(0, batch.num_rows, step):
                 texts = [t or "" for t in batch.column("text").slice(at, step).to_pylist()]

@@ -56,3 +56,34 @@ def test_words_are_learnt_without_collecting_between(monkeypatch):
         assert not gc.isenabled()
     finally:
         gc.enable()
+
+
+def test_a_word_is_looked_up_once_however_often_it_stands_there():
+    class Counted(dict):
+        asked = 0
+
+        def get(self, *a):
+            self.asked += 1
+            return super().get(*a)
+
+        def __getitem__(self, key):
+            self.asked += 1
+            return super().__getitem__(key)
+
+    lib, enc = Tokenizer.from_file(bpe.default_vocabulary()), bpe.TrieEncoder(bpe.default_vocabulary())
+    enc.words = Counted()
+    texts = ["some words, and more\n" * 500, "and more words " * 500]
+    for text, raw in zip(texts, enc.encode_many(texts)):
+        assert array("I", raw).tolist() == lib.encode(text, add_special_tokens=False).ids
+    assert 0 < enc.words.asked < 50
+
+
+def test_plain_and_odd_texts_together():
+    """Each text gets its own ids, whatever way its neighbours are split."""
+    lib, enc = Tokenizer.from_file(bpe.default_vocabulary()), bpe.TrieEncoder(bpe.default_vocabulary())
+    spaces = "".join(c for c in map(chr, range(0x500)) if c.isspace() and not "\x1c" <= c <= "\x1f")
+    texts = ["", " ", "plain words", "中文 plain", "", "a<|endoftext|>plain words", f"{spaces}x{spaces}yz{spaces}", "a < b", "q\x1fr words",
+             "\t\n", "É é ÅNGSTRÖM don't 'tis", "plain"] + [f"a{c}b" for c in spaces] + ["lang " * 300 + "e" * 400, "中"]
+    for many in texts, texts[::-1], texts[3:4], texts[:1], []:
+        got = [array("I", raw).tolist() for raw in enc.encode_many(many)]
+        assert got == [lib.encode(t, add_special_tokens=False).ids for t in many]
