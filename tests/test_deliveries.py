@@ -38,7 +38,7 @@ def test_batches_are_all_rows_one_after_another(spark, tmp_path):
     rows += rows[20:40] + [(None, begin, None)]
     d = spark.createDataFrame(rows, "msg_id long, ts timestamp, content string").repartition(5)
     seen, streams = [], set()
-    for stream in stream_queries._delivered(spark, d, str(tmp_path), (1, 0)):
+    for stream in stream_queries._delivered(spark, d, str(tmp_path), (1, 0), 5):
         assert stream.isStreaming
         streams.add(id(stream))
         seen.append([tuple(r) for r in spark.read.parquet(str(tmp_path / "in")).collect()])
